@@ -6,7 +6,8 @@ far commoner in the confirmed documents; on these a logistic model is fitted in
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-(Kiryo et al., 2017): where the corrected risk of the unlabelled turns negative, the step goes the other way.
+(Kiryo et al., 2017): where the corrected risk of the unlabelled turns negative, the step goes the other way.  A fifth of the
+labelled training rows takes no part in this; on it scale and offset of the scores are calibrated.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ BITS = 20
 STEMS = (4, 5, 6)  # bytes of a word's beginning
 MAX_CONFIRMED = 20_000  # confirmed documents that are used for fitting
 MAX_UNLABELLED = 20_000  # unlabelled documents in the fit; counts cover all
+MAX_CALIBRATION = 20_000  # labelled documents for calibration
 MAX_FEATURES = 4096
-LEAST_RATIO, LEAST_DOCUMENTS = 4.0, 5
+LEAST_RATIO, LEAST_DOCUMENTS, LEAST_ERRORS = 4.0, 3, 3.5  # of a feature: share ratio, confirmed documents, standard errors
 _BLOCK = 1 << 16
 
 
@@ -91,7 +93,7 @@ def _rows_of(features: np.ndarray):
     return run
 
 
-def fit_nnpu(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], size: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights (>= 0: features are chosen as signs of toxicity) and bias of the logistic model, by Adam on the whole sets."""
     sides = [confirmed, unlabelled]
     owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in sides]
@@ -118,6 +120,19 @@ def fit_nnpu(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], size: in
     return weights[:size], float(weights[size])
 
 
+def calibrate(z: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Scale (> 0) and offset of a logistic fit of toxic on z, drawn a little towards (1, 0)."""
+    scale, offset = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(scale * z + offset, -30, 30)))
+        slope = np.array([(z * (p - toxic)).sum() + (scale - 1), (p - toxic).sum() + 0.1 * offset])
+        v = p * (1 - p)
+        curve = np.array([[(z * z * v).sum() + 1, (z * v).sum()], [(z * v).sum(), v.sum() + 0.1]])
+        step = np.linalg.solve(curve, slope)
+        scale, offset = max(0.05, scale - float(np.clip(step[0], -0.5, 0.5))), offset - float(np.clip(step[1], -1, 1))
+    return scale, offset
+
+
 def train(documents: DataFrame, labels: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None) -> ToxicityModel | None:
     """Fits on the documents where trains holds; None without a confirmed toxic document.
 
@@ -127,17 +142,21 @@ def train(documents: DataFrame, labels: DataFrame, trains: Column, doc_id: str =
     """
     marks = labels.where(labels[label].isNotNull() & labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("_id")).agg(F.max(label).alias("_y"))
     marks = marks.withColumnRenamed("_id", doc_id).where(trains).withColumnRenamed(doc_id, "_id")
-    total = marks.agg(F.count("*").alias("n"), F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p")).first()
+    marks = marks.withColumn("_held", unit_hash(F.lit("calibration"), F.col("_id")) < 0.2)
+    total = marks.agg(F.count("*").alias("n"), F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("_held"), 1).otherwise(0)).alias("h")).first()
     if not total["p"]:
         return None
     prior = min(0.9, total["p"] / total["n"]) if prior is None else prior
-    chosen = marks.where("_y = 1").where(unit_hash(F.col("_id")) < MAX_CONFIRMED / total["p"]).select("_id").limit(2 * MAX_CONFIRMED)
-    side = F.when(F.col("_id").isNotNull(), 1).otherwise(0).cast("int").alias("side")
+    u = unit_hash(F.col("_id"))
+    positive = marks.where("_y = 1 and not _held").where(u < MAX_CONFIRMED / total["p"]).select("_id", F.lit(1).alias("_side")).limit(2 * MAX_CONFIRMED)
+    held = marks.where("_held").where(u < MAX_CALIBRATION / max(1, total["h"])).select("_id", F.when(F.col("_y") == 1, 3).otherwise(2).alias("_side")).limit(2 * MAX_CALIBRATION)
+    chosen = positive.union(held)
+    side = F.coalesce("_side", F.lit(0)).cast("int").alias("side")
     base = documents.select(doc_id, F.lower(documents[text]).alias("_text")).where(trains)
     marked = base.join(F.broadcast(chosen), base[doc_id] == chosen["_id"], "left").select("_text", side, unit_hash(base[doc_id]).alias("u"))
 
     counts, totals = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in marked.select("_text", "side").mapInArrow(_count, "side int, block int, counts binary").groupBy("side", "block").applyInPandas(_add, "side int, block int, counts binary").collect():
+    for r in marked.where("side < 2").select("_text", "side").mapInArrow(_count, "side int, block int, counts binary").groupBy("side", "block").applyInPandas(_add, "side int, block int, counts binary").collect():
         values = np.frombuffer(r["counts"], "<i8")
         if r["block"] < 0:
             totals[r["side"]] = int(values[0])
@@ -146,17 +165,19 @@ def train(documents: DataFrame, labels: DataFrame, trains: Column, doc_id: str =
     if not totals[1]:
         return None
     shares = [(counts[s] + 0.5) / (totals[s] + 1) for s in (0, 1)]
-    ratio = shares[1] / shares[0]
-    least = max(2, min(LEAST_DOCUMENTS, totals[1] // 20))
-    good = np.flatnonzero((ratio >= min(LEAST_RATIO, 0.5 / prior)) & (counts[1] >= least))
-    features = np.sort(good[np.argsort(-(counts[1][good] * np.log(ratio[good])), kind="stable")[:MAX_FEATURES]])
+    ratio = np.log(shares[1] / shares[0])
+    errors = np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
+    good = np.flatnonzero((counts[1] >= LEAST_DOCUMENTS) & (ratio >= LEAST_ERRORS * errors) & (ratio >= np.log(min(LEAST_RATIO, 0.5 / prior))))
+    features = np.sort(good[np.argsort(-(counts[1][good] * ratio[good]), kind="stable")[:MAX_FEATURES]])
     share = min(1.0, MAX_UNLABELLED / max(1, totals[0]))
-    sample = marked.where((F.col("side") == 1) | (F.col("u") < share)).select("_text", "side").mapInArrow(_rows_of(features), "side int, features binary").limit(2 * (MAX_CONFIRMED + MAX_UNLABELLED))
-    sets: list[list[np.ndarray]] = [[], []]
+    sample = marked.where((F.col("side") >= 1) | (F.col("u") < share)).select("_text", "side").mapInArrow(_rows_of(features), "side int, features binary").limit(2 * (MAX_CONFIRMED + MAX_UNLABELLED + MAX_CALIBRATION))
+    sets: list[list[np.ndarray]] = [[], [], [], []]
     for r in sample.collect():
         sets[r["side"]].append(np.searchsorted(features, np.frombuffer(r["features"], "<i4")))
     weights, bias = fit_nnpu(sets[1], sets[0], len(features), prior)
-    return ToxicityModel(features, weights, bias)
+    z = np.array([weights[x].sum() for x in (*sets[2], *sets[3])]) + bias
+    scale, offset = calibrate(z, np.repeat([0.0, 1.0], [len(sets[2]), len(sets[3])])) if len(z) else (1.0, 0.0)
+    return ToxicityModel(features, weights * scale, bias * scale + offset)
 
 
 def score(documents: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
