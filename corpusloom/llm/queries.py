@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, line_dedup, toxicity
+from . import bpe, decontaminate, jaccard, langid, line_dedup, toxicity, warc
 from .common import crc_fold, table_dir
 
 
@@ -27,6 +27,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 2 of 4 of the ids is held out of training."""
+    documents, fold = _table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 4)
+    model = langid.train(documents, fold != 2)
+    made = langid.predict(documents.select("doc_id", "text"), model)
+    return made.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have Jaccard 0.85 or more."""
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -40,6 +48,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive addressed by content and read back."""
+    path = warc.new_archive(spark)
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the later of its repeated runs of 50 words or more cut out."""
     made = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
@@ -54,13 +69,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
     "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op8_line_dedup": op8_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(encode(html), encode('')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS strong, upper(sha1(body)) AS hex FROM p),
+f AS (SELECT *, first_value(page_id) OVER (PARTITION BY strong ORDER BY page_id) AS first_id,
+             row_number() OVER (PARTITION BY strong ORDER BY page_id) AS nth FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, (1 + 10 * (k // 8))::INTEGER, 10))::BIGINT >> (35 - 5 * (k % 8))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first_id END AS refers_to
+FROM f
+""",
     "op8_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS line FROM d),
