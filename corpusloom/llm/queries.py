@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, line_dedup, toxicity, warc
+from . import ann, bpe, decontaminate, jaccard, langid, line_dedup, pitman_yor, toxicity, warc
 from .common import crc_fold, table_dir
 
 
@@ -55,12 +55,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document; fold 1 of 5 of the ids is held out of training."""
+    documents, fold = _table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5)
+    made = pitman_yor.score(documents, pitman_yor.train(documents, fold != 1), fold == 1)
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the later of its repeated runs of 50 words or more cut out."""
     made = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
     return made.select("doc_id", "removed_lines", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"), F.length("kept_text").alias("kept_chars"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of each whose id is divisible by 50."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item, exact or edited."""
     found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -73,7 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
+    "op7_pitman_yor": op7_pitman_yor,
     "op8_line_dedup": op8_line_dedup,
+    "op9_nearest": op9_nearest,
     "op10_decontaminate": op10_decontaminate,
 }
 
