@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, jaccard, langid, line_dedup, pitman_yor, toxicity, warc
+from . import ann, bpe, decontaminate, jaccard, kneser_ney, langid, line_dedup, pitman_yor, toxicity, warc
 from .common import crc_fold, table_dir
 
 
@@ -35,6 +35,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the trusted ones, and whether its language's threshold keeps it."""
+    made = kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return made.select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have Jaccard 0.85 or more."""
     return jaccard.jaccard_classes(_table(spark, sf_dir, "documents"), n=4, percent=85)
@@ -82,6 +88,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op4_jaccard": op4_jaccard,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
