@@ -49,7 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut, and a lost executor costs no recomputation."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._loom_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._loom_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc_fold(column: Column, modulus: int) -> Column:
@@ -70,6 +80,13 @@ def pick(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Long texts need shorter Arrow batches than Spark's default of 10000 rows; another setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table_dir(sf_dir: str, name: str) -> str:
     return f"{sf_dir}/{name}.parquet"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def connected(links: DataFrame) -> DataFrame:
     edges = written(links.where("src <> dst").select("src", "dst").distinct(), "edges")
     before = None
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
+        old, edges = edges, written(_star(_star(edges, True), False), "edges")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

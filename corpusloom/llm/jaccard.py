@@ -7,8 +7,8 @@ group only if its overlap with that union could still meet the threshold.  Here
 1. Each text gives its token set, the set's hash (the class) and its share in a fixed-size sketch of token counts.
 2. Tokens are ordered by (sketched count, hash): any fixed order is exact, and this one puts shared passages last.  Only a
    class's first |s| - ceil(t|s|) + 1 tokens can be the first one it shares with a partner, so only these are indexed.
-3. Leaders: each indexed token names its smallest class; members are checked against their leaders and linked components
-   become the groups.  This joins large sets of near copies in time linear in their number.
+3. Leaders: each indexed token names the class where it stands first in order, the one with least text of its own; members
+   are checked against their leaders and linked components become the groups.  This joins large sets of near copies in time linear in their number.
 4. Matrix: indexed tokens by group, split in blocks of a bounded number of members.  A class is a query to a block of
    another group only if they share an indexed token and sizes and remaining positions leave enough overlap.
 5. The query's overlap with the block's token union bounds every member's; blocks that qualify are opened and members
@@ -29,17 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import written
+from .common import discard, written
 from .components import connected
 
 SKETCH_CELLS = 1 << 20
 SKETCH_BLOCK = 1 << 16
+MARK_BITS = 1 << 24  # of the filter for shared tokens
 BLOCK_MEMBERS = 256
 QUERY_BLOCK = 1024
-BROADCAST_IDS = 400_000
+BROADCAST_ROWS = 100_000
 _OUT_ROWS = 2000
 
 
+_POSTING = "token long, cls long, n long, at long"
+#: Smallest for a token's most central member: where the token stands first, the text has least of its own.
+_CENTRAL = "shiftleft(least(at, 524287L), 44) + shiftright(cls, 19)"
+
+
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct word n-gram hashes of each text; of shorter texts the whole sequence's; of none the empty set."""
     for lo, hi, data, offsets in kernel.chunks(column):
@@ -64,6 +70,11 @@ def least_overlap(sizes: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * sizes // (100 + percent))
 
 
+def _broadcast_if_small(written_table: DataFrame) -> DataFrame:
+    """Hinted to be broadcast if its rows, a few numbers each, are counted and few; else it is joined by a shuffle."""
+    return F.broadcast(written_table) if written_table.count() <= BROADCAST_ROWS else written_table
+
+
 def _sizes_and_sketch(n: int):
     mask = np.uint64(SKETCH_CELLS - 1)
 
@@ -118,46 +129,70 @@ def _prefixes(n: int, percent: int, sketch: np.ndarray):
     return run
 
 
-def _unpack_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = batch.column(2).to_pylist()
-        lengths = np.array([len(x) // 8 for x in packed], np.int64)
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) - np.repeat(ends - lengths, lengths)
-        cls, size = (np.repeat(batch.column(k).to_numpy(), lengths) for k in (0, 1))
-        tokens = np.frombuffer(b"".join(packed), "<i8")
-        for lo in range(0, total, 200_000):
-            cut = slice(lo, lo + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[cut]), pa.array(cls[cut]), pa.array(size[cut]), pa.array(at[cut])], names=["token", "cls", "n", "at"])
-
+def _unpack_prefixes(marks_of):
+    """Postings of the packed prefixes: all, or those whose token may be shared by the marks."""
 
-def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = marks_of() if marks_of else None
         for batch in batches:
-            rows = [(class_of(x), x.astype("<u8").tobytes()) for x in shingle_sets(batch.column(0), n) if len(x)]
-            for at in range(0, len(rows), 500):
-                cls, packed = zip(*rows[at : at + 500], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "tokens"])
+            packed = batch.column(2).to_pylist()
+            lengths = np.array([len(x) // 8 for x in packed], np.int64)
+            ends = np.cumsum(lengths)
+            total = int(ends[-1]) if len(ends) else 0
+            at = np.arange(total) - np.repeat(ends - lengths, lengths)
+            row = np.repeat(np.arange(len(packed)), lengths)
+            tokens = np.frombuffer(b"".join(packed), "<u8")
+            if marks is not None:
+                bit = tokens & np.uint64(MARK_BITS - 1)
+                kept = np.flatnonzero(marks[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                at, row, tokens = at[kept], row[kept], tokens[kept]
+            cls, size = (batch.column(k).to_numpy()[row] for k in (0, 1))
+            tokens = tokens.view("<i8")
+            for lo in range(0, len(tokens), 200_000):
+                cut = slice(lo, lo + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[cut]), pa.array(cls[cut]), pa.array(size[cut]), pa.array(at[cut])], names=["token", "cls", "n", "at"])
 
     return run
 
 
-def _check_pairs(percent: int):
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks, seen = np.zeros(MARK_BITS // 8, np.uint8), False
+    for batch in batches:
+        bit = batch.column(0).to_numpy().view(np.uint64) & np.uint64(MARK_BITS - 1)
+        np.bitwise_or.at(marks, (bit >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
+        seen = seen or batch.num_rows > 0
+    if seen:
+        parts = np.split(marks, 32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "bits"])
+
+
+def _join_marks(rows: pd.DataFrame) -> pd.DataFrame:
+    whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [whole.tobytes()]})
+
+
+def _sets(n: int):
+    """Class and token set of each text, a class once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["src", "dst"]).filter(pa.array(hit, pa.bool_()))
+            rows = []
+            for tokens in shingle_sets(batch.column(0), n):
+                if len(tokens) and (cls := class_of(tokens)) not in seen:
+                    seen.add(cls)
+                    rows.append((cls, tokens.astype("<u8").tobytes()))
+            for at in range(0, len(rows), 500):
+                cls, packed = zip(*rows[at : at + 500], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "tokens"])
 
     return run
 
 
 def _open_groups(percent: int):
-    def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(rows_: pd.DataFrame) -> pd.DataFrame:
+        rows_ = rows_.drop_duplicates(["cls", "is_query"])
+        members, queries = rows_[~rows_["is_query"]], rows_[rows_["is_query"]]
         sets = [np.frombuffer(x, "<u8") for x in members["tokens"]]
         src, dst = [], []
         if sets and len(queries):
@@ -168,7 +203,7 @@ def _open_groups(percent: int):
             order = np.argsort(tokens, kind="stable")
             tokens, rows = tokens[order], rows[order]
             ids = members["cls"].to_numpy()
-            for cls, packed in zip(queries["query"], queries["query_tokens"], strict=True):
+            for cls, packed in zip(queries["cls"], queries["tokens"], strict=True):
                 query = np.frombuffer(packed, "<u8")
                 known = query[np.isin(query, union, assume_unique=True)]
                 if 100 * len(known) < percent * len(query):  # the union's overlap bounds each member's
@@ -201,20 +236,43 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     texts = documents.select(documents[text].alias("text"))
     prefixes = texts.mapInArrow(_prefixes(n, percent, sketch.astype(np.int32)), "cls long, n long, prefix binary").dropDuplicates(["cls"])
-    postings = written(prefixes.mapInArrow(_unpack_prefixes, "token long, cls long, n long, at long"), "postings")
-    heads = postings.groupBy("token").agg(F.count("*").alias("members"), F.min("cls").alias("head")).where("members > 1")
-    shared = written(postings.join(heads, "token"), "shared")
-
-    active = shared.select("cls").distinct()
-    few = active.count() <= BROADCAST_IDS
-    tokens = texts.mapInArrow(_sets(n), "cls long, tokens binary").join(F.broadcast(active) if few else active, "cls", "left_semi").dropDuplicates(["cls"])
-    tokens = written(tokens, "tokens")
-
-    sizes = shared.select(F.col("cls").alias("head"), F.col("n").alias("head_n")).distinct()
-    led = shared.where("cls <> head").select("cls", "n", "head").distinct().join(sizes, "head")
-    led = led.where(F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent).select("cls", "head")
-    pairs = led.join(tokens, "cls").withColumnRenamed("tokens", "x").join(tokens.select(F.col("cls").alias("head"), F.col("tokens").alias("y")), "head")
-    links = written(pairs.select("cls", "head", "x", "y").mapInArrow(_check_pairs(percent), "src long, dst long"), "links")
+    packed = written(prefixes, "prefixes")
+    postings = packed.mapInArrow(_unpack_prefixes(None), _POSTING)
+    heads = postings.groupBy("token").agg(F.count("*").alias("members"), F.min(F.expr(_CENTRAL)).alias("head_key")).where("members > 1").select("token", "head_key")
+    heads = written(heads, "heads")
+    marks = np.zeros(MARK_BITS // 8, np.uint8)
+    for row in heads.select("token").mapInArrow(_mark, "block int, bits binary").groupBy("block").applyInPandas(_join_marks, "block int, bits binary").collect():
+        own = np.frombuffer(row["bits"], np.uint8)
+        marks[row["block"] * len(own) : (row["block"] + 1) * len(own)] = own
+    marked = spark.sparkContext.broadcast(marks)
+    postings = packed.mapInArrow(_unpack_prefixes(lambda: marked.value), _POSTING)
+    shared = written(postings.join(heads, "token").withColumn("is_head", F.col("head_key") == F.expr(_CENTRAL)).drop("head_key"), "shared")
+
+    def opened(places: DataFrame, name: str) -> DataFrame:
+        """Links of places(group, cls, is_query): each query checked against the members of its groups.
+
+        The token sets come from another scan and go straight to the groups; queries of a group are dealt out in shares of
+        about QUERY_BLOCK, each with the group's members, so no task gets more than a block and a share.
+        """
+        places = written(places.distinct(), f"{name}_places")
+        shares = places.where("is_query").groupBy("group").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("shares"))
+        dealt = places.join(shares, "group")
+        share = F.pmod(F.xxhash64("cls"), F.col("shares"))
+        dealt = dealt.withColumn("share", F.explode(F.when(F.col("is_query"), F.array(share)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))).drop("shares")
+        dealt = written(dealt, f"{name}_dealt")
+        moved = texts.mapInArrow(_sets(n), "cls long, tokens binary").join(_broadcast_if_small(dealt), "cls")
+        made = written(moved.groupBy("group", "share").applyInPandas(_open_groups(percent), "src long, dst long").distinct(), name)
+        discard(places, dealt)
+        return made
+
+    leaders = shared.where("is_head").select("token", F.col("cls").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"))
+    led = shared.where("not is_head").join(leaders, "token")
+    most = F.least("at", "head_at") + F.least(F.col("n") - F.col("at"), F.col("head_n") - F.col("head_at"))  # of the overlap
+    led = led.where((F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("head_n")) * percent))
+    led = written(led.select("cls", "head").distinct(), "led")
+    group_of = lambda *key: F.xxhash64(*key).alias("group")
+    heads_led = led.select(group_of("head"), F.col("head").alias("cls"), F.lit(False).alias("is_query"))
+    links = opened(heads_led.union(led.select(group_of("head"), "cls", F.lit(True).alias("is_query"))), "links")
     group = connected(links)
 
     placed = shared.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -223,8 +281,8 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     counts = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("cls") / BLOCK_MEMBERS).cast("long").alias("blocks"))
     member = placed.join(counts, "component").withColumn("part", F.pmod(F.xxhash64("cls"), F.greatest("blocks", F.lit(1))))
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
-    cells = member.groupBy("token", "component", "part").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("at")).alias("rest"), F.collect_set(bands).alias("bands"))
-    cells = cells.withColumn("band", F.explode(F.array_distinct(F.flatten(F.transform("bands", lambda b: F.array(b - 1, b, b + 1)))))).drop("bands")
+    cells = member.groupBy("token", "component", "part", bands.alias("own")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    cells = cells.withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1))).drop("own")
     queries = placed.select("token", F.col("cls").alias("query"), F.col("n").alias("query_n"), (F.col("n") - F.col("at")).alias("query_rest"), F.col("component").alias("query_component"), bands.alias("band"))
     need = F.ceil((F.col("query_n") + F.greatest("least_n", F.ceil(F.col("query_n") * percent / 100))) * percent / (100.0 + percent) - 1e-9)
     asked = queries.join(cells, ["token", "band"]).where(
@@ -234,14 +292,13 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         & (F.least("query_rest", "rest") >= need)
     )
     asked = written(asked.select("query", "component", "part").distinct(), "asked")
-    shares = asked.groupBy("component", "part").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("shares"))
-    asked = asked.join(shares, ["component", "part"]).withColumn("share", F.pmod(F.xxhash64("query"), F.col("shares"))).drop("shares")
-    asked = asked.join(tokens.select(F.col("cls").alias("query"), F.col("tokens").alias("query_tokens")), "query")
-    opened = member.select("component", "part", "cls").distinct().join(shares, ["component", "part"])
-    opened = opened.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares").join(tokens, "cls")
-    keys = ["component", "part", "share"]
-    more = opened.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_open_groups(percent), "src long, dst long")
-    final = connected(written(links.union(more), "all_links"))
+    asked_members = member.select("component", "part", "cls").distinct().join(asked.select("component", "part").distinct(), ["component", "part"])
+    asked_members = written(asked_members, "asked_members")
+    block = group_of("component", "part")
+    more = opened(asked_members.select(block, "cls", F.lit(False).alias("is_query")).union(asked.select(block, F.col("query").alias("cls"), F.lit(True).alias("is_query"))), "more_links")
+    every = written(links.union(more), "all_links")
+    final = connected(every)
+    discard(packed, heads, shared, led, links, placed, asked, asked_members, more, every)
 
     classes = docs.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = classes.where("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
