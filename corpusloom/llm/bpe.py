@@ -29,8 +29,8 @@ from .common import pick
 
 _ROOT = 0
 _NEVER = 1 << 60
-_TABLE_ENTRIES = 600_000
-_CACHED_WORDS = 300_000
+_TABLE_ENTRIES = 400_000
+_CACHED_WORDS = 250_000
 _CACHED_CHUNKS = 450_000
 _OUT_BYTES = 4 << 20
 

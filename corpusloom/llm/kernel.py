@@ -7,6 +7,7 @@ per word.  Texts are scanned whole; a chunk is cut only between documents, so me
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,19 @@ _VALUES, _IS_SPACE, _IS_OTHER = _tables()
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about size bytes; empty ones are left out."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if held and sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     global _powers
@@ -109,6 +123,17 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
+def _trim_function():
+    """glibc's malloc_trim, or nothing elsewhere."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+_trim = _trim_function()
+
+
 def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, one past the last, data, offsets) of runs of rows of about chunk_bytes, one row at least."""
     data, offsets = text_buffers(column)
@@ -118,6 +143,9 @@ def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         to = min(max(to, row + 1), n, row + 20000)
         yield row, to, data, offsets[row : to + 1]
         row = to
+    if len(data) > chunk_bytes:  # a worker serves task after task: what a batch needed goes back to the system
+        pa.default_memory_pool().release_unused()
+        _trim(0)
 
 
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(77).integers(1 << 62, 1 << 63, 16)]
