@@ -11,6 +11,7 @@ from .functions import text as X
 from .functions import vector as V
 from .operators import annotate, basic, dedup, filters, lexicon, search, stats, vectors
 from .plans import feedback, spec
+from .session import ship
 from .sources import webarchive, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="loom-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as file:
+        for path in sorted(root.rglob("*")):
+            if path.suffix in (".py", ".json"):
+                file.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
 
 def session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join handling and UTC; further settings by keyword, dots as double underscores."""
