@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, decontaminate, jaccard, line_dedup, toxicity
-from corpusloom.llm.common import crc_fold, pick, small_batches, table_dir, written
+from corpusloom.llm.common import crc_fold, pick, prepare, table_dir, written
 from corpusloom.llm.queries import _tokenizer_file
 
 #: Stage 1 trains a model, stage 4 aligns: SQL can't express them, so there is none for run()'s rows.
@@ -20,7 +20,7 @@ ORACLE_SQL: str | None = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity is 0.5 or more; the model learns from the stage's own documents (fold 0 held out)."""
-    small_batches(spark)
+    prepare(spark)
     model = toxicity.train(docs, spark.read.parquet(table_dir(sf_dir, "labels")), crc_fold(F.col("doc_id"), 5) != 0)
     name = pick(docs, "toxicity")
     return toxicity.score(docs, model).where(F.col(name) < 0.5).select(*docs.columns)
@@ -40,7 +40,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each near-duplicate group (5-word shingles, Jaccard 0.8) the document with the smallest doc_id."""
-    small_batches(spark)
+    prepare(spark)
     groups = jaccard.jaccard_classes(docs, n=5, percent=80).where("component_id is not null and component_id <> doc_id")
     gone = groups.select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -54,7 +54,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, exact or edited."""
-    small_batches(spark)
+    prepare(spark)
     leaks = decontaminate.find_leaks(docs, spark.read.parquet(table_dir(sf_dir, "benchmark"))).select("doc_id", "digest").distinct()
     hit = (F.col("leaks.doc_id").eqNullSafe(F.col("docs.doc_id"))) & (F.col("leaks.digest") == F.xxhash64(F.col("docs.text")))
     return docs.alias("docs").join(leaks.alias("leaks"), hit, "left_anti").select(*docs.columns)
@@ -62,7 +62,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, packed ids and the digest of the decoded text of each remaining document."""
-    small_batches(spark)
+    prepare(spark)
     made = bpe.encode_decode(docs, _tokenizer_file(), keep=["doc_id"])
     return made.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _made: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -80,8 +82,12 @@ def pick(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts need shorter Arrow batches than Spark's default of 10000 rows; another setting is left alone."""
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Ships the package; sets shorter Arrow batches than Spark's default of 10000 rows, which long texts need.
+
+    Another setting than the default is left alone.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))

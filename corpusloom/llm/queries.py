@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, decontaminate, jaccard, kneser_ney, langid, line_dedup, pitman_yor, toxicity, warc
-from .common import crc_fold, small_batches, table_dir
+from .common import crc_fold, prepare, table_dir
 
 
 def _tokenizer_file() -> str:
@@ -18,7 +18,7 @@ def _tokenizer_file() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(table_dir(sf_dir, name))
 
 
