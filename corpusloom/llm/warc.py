@@ -1,25 +1,54 @@
 """WARC archive addressed by content.
 
 A payload is stored once, under its SHA-256; record headers are kept apart, exactly as written, with the digest of the
-payload they belong to.  Of records with equal payloads the one with the smallest page id is the response, the others are
+payload they belong to.  Payloads are deflated one by one before they are moved or stored.  Of records with equal payloads the one with the smallest page id is the response, the others are
 revisits that name it.  Records are read back by joining headers with payloads, whose digests are recomputed on reading.
-All in DataFrame operations; payloads are moved only to the place of their digest.
+Payloads are moved only once, to the place of their digest.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_dir
 
 CRLF = "\r\n"
+HEADERS_A_FILE, BYTES_A_FILE = 20_000, 16 << 20
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # fixed values: conv()'s digits and RFC 4648's
 _RFC4648 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _VERSION = "WARC/1.1"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def deflated(payload: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: zlib.compress(x, 4))
+
+    return run(payload)
+
+
+def inflated(packed: Column) -> Column:
+    """The payload, or null where it can't be unpacked, so that reading reports it as not verified."""
+
+    def unpack(x: bytes) -> bytes | None:
+        try:
+            return zlib.decompress(x)
+        except zlib.error:
+            return None
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(unpack)
+
+    return run(packed)
+
+
 def base32_of_hex(digest: Column) -> Column:
     """RFC 4648 base32 of a digest in hexadecimal, whose length is a multiple of ten digits."""
     parts = [F.lpad(F.conv(F.substring(digest, at, 10), 16, 32), 8, "0") for at in range(1, 41, 10)]
@@ -44,6 +73,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     narrow.write.parquet(f"{path}/entries")
     spark = pages.sparkSession
     narrow = spark.read.schema(narrow.schema).parquet(f"{path}/entries")
+    size = narrow.agg(F.count("*").alias("rows"), F.coalesce(F.sum("payload_bytes"), F.lit(0)).alias("bytes")).first()
+    files = lambda whole, part: max(1, -(-whole // part))  # noqa: E731  so that an archive isn't many small files
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("row").alias("row"))
     firsts = narrow.groupBy("sha256").agg(F.min(order).alias("first"))
     rows = narrow.join(firsts, "sha256")
@@ -63,11 +94,11 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
         line("Content-Length", F.when(revisit, 0).otherwise(F.col("payload_bytes")).cast("string")),
         F.lit(CRLF),
     )
-    rows.select("page_id", "row", header.cast("binary").alias("header"), "sha256").write.parquet(f"{path}/headers")
+    rows.select("page_id", "row", header.cast("binary").alias("header"), "sha256").coalesce(files(size["rows"], HEADERS_A_FILE)).write.parquet(f"{path}/headers")
     wanted = firsts.select("sha256", F.col("first.id").alias("page_id"))
-    stored = entries.select("sha256", "page_id", "payload")
+    stored = entries.select("sha256", "page_id", deflated(F.col("payload")).alias("packed"))
     match = (stored["sha256"] == wanted["sha256"]) & stored["page_id"].eqNullSafe(wanted["page_id"])
-    stored.join(wanted, match, "left_semi").dropDuplicates(["sha256"]).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    stored.join(wanted, match, "left_semi").dropDuplicates(["sha256"]).select("sha256", "packed").coalesce(files(size["bytes"], BYTES_A_FILE)).write.parquet(f"{path}/payloads")
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -76,14 +107,19 @@ def header_field(header: Column, name: str) -> Column:
     return F.when(found == "", F.lit(None)).otherwise(found)
 
 
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    stored = spark.read.schema("sha256 string, packed binary").parquet(f"{path}/payloads")
+    return stored.select("sha256", inflated(F.col("packed")).alias("payload"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Original records: page_id, row, record_type, header and payload (each record's full one), and verified.
 
     verified tells that the stored payload still has the digests it is filed under and, for responses, the length stated.
     """
     headers = spark.read.schema("page_id long, row long, header binary, sha256 string").parquet(f"{path}/headers")
-    stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    stored = stored.withColumn("intact", F.sha2("payload", 256) == F.col("sha256")).withColumn("payload_sha1", base32_of_hex(F.sha1("payload")))
+    stored = _payloads(spark, path)
+    stored = stored.withColumn("intact", F.coalesce(F.sha2("payload", 256) == F.col("sha256"), F.lit(False))).withColumn("payload_sha1", base32_of_hex(F.sha1("payload")))
     made = headers.join(stored, "sha256")
     kind = header_field(F.col("header"), "WARC-Type")
     stated = header_field(F.col("header"), "Content-Length").cast("long")
@@ -102,8 +138,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     Payloads are read once, where they are stored; their lengths and digests, not they, are joined with the headers.
     """
-    stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
-    stored = stored.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), (F.sha2("payload", 256) == F.col("sha256")).alias("intact"))
+    stored = _payloads(spark, path)
+    stored = stored.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), F.coalesce(F.sha2("payload", 256) == F.col("sha256"), F.lit(False)).alias("intact"))
     headers = spark.read.schema("page_id long, row long, header binary, sha256 string").parquet(f"{path}/headers")
     field = lambda name: header_field(F.col("header"), name)
     headers = headers.select("page_id", "sha256", field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest").alias("stated"), field("Content-Length").cast("long").alias("length"), F.expr("nullif(regexp_extract(string(header), 'WARC-Refers-To: <urn:page:(-?[0-9]+):', 1), '')").cast("long").alias("refers_to"))
@@ -114,6 +150,4 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def new_archive(spark: SparkSession) -> str:
     """A fresh archive path in the shared folder."""
-    import uuid
-
     return f"{scratch_dir(spark)}/archive-{uuid.uuid4().hex[:8]}"
