@@ -839,13 +839,13 @@ def set_bitmask(s: SparkSession, d: str) -> DataFrame:
 
 # --- definitions --------------------------------------------------------------------------------------------------------
 
-_DEF = "df AS (SELECT p_partkey, lower(p_name) || '_' || p_partkey AS headword, lower(p_type || ' ' || p_brand || ' size' || p_size) AS definition FROM part)"
+_DEF = "df AS (SELECT p_partkey, lower(p_name) || '-' || p_partkey AS headword, lower(p_type || ' ' || p_brand || ' size' || p_size) AS definition FROM part)"
 _BAG = f"{_DEF}, bg AS (SELECT DISTINCT headword, unnest(regexp_extract_all(definition, '[^\\s]+')) AS term FROM df)"
 
 
 def definitions(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part")
-    return p.select(F.concat(F.lower("p_name"), F.lit("_"), F.col("p_partkey").cast("string")).alias("headword"), F.concat_ws(" ", "p_type", "p_brand", F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("definition"), "p_partkey")
+    return p.select(F.concat(F.lower("p_name"), F.lit("-"), F.col("p_partkey").cast("string")).alias("headword"), F.concat_ws(" ", "p_type", "p_brand", F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("definition"), "p_partkey")
 
 
 @query("definition_vocabulary", f"WITH {_BAG} SELECT DISTINCT term FROM bg WHERE term NOT IN ({LISTED})")
