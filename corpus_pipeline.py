@@ -29,7 +29,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later repeated runs of 50 words or more; a document of which nothing is left goes, n_chars follows the text."""
     kept, removed = pick(docs, "kept_text"), pick(docs, "removed_lines")
-    made = line_dedup.drop_repeated_lines(docs)
+    made = line_dedup.drop_repeated_lines(docs, tails=True)
     made = made.where((F.col(removed) == 0) | (F.trim(F.regexp_replace(kept, r"\s+", " ")) != ""))
     changed = F.col(removed) > 0
     new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text"))}

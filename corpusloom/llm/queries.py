@@ -71,7 +71,7 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the later of its repeated runs of 50 words or more cut out."""
-    made = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    made = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), tails=True)
     return made.select("doc_id", "removed_lines", F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"), F.length("kept_text").alias("kept_chars"))
 
 

@@ -323,6 +323,34 @@ def test_line_dedup_on_awkward_rows(spark, prose):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def without_any_repeats(rows, least):
+    """Texts without later repeats, by listing every run of so many words or more."""
+    first, out = {}, {}
+    for doc, text in sorted(set(rows)):
+        own = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
+        gone = set()
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                run = tuple(x for _, x in own[a:b])
+                if sum(len(x.split()) for x in run) >= least and first.setdefault(run, (doc, a)) != (doc, a):
+                    gone |= set(range(own[a][0], own[b - 1][0] + 1))
+        out[doc] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    return out
+
+
+def test_line_dedup_takes_whole_runs(spark, prose):
+    rng = random.Random(9)
+    lines = [prose(rng.randint(1, 45)) for _ in range(20)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(50)]
+    shared, copy = [prose(60), prose(45)], "\n".join(prose(n) for n in (30, 30, 12))
+    rows += [(50 + i, "\n".join([prose(9), *shared, prose(9)])) for i in range(2)] + [(60, copy), (61, copy)]
+    want = without_any_repeats(rows, 50)
+    made = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), tails=True)
+    assert {r["doc_id"]: r["kept_text"] for r in made.collect()} == want
+    assert want[61] == "" and not set(shared) & set(want[51].split("\n"))
+    assert without_repeats(rows, 50) != want  # windows that run forward only leave the ends
+
+
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
