@@ -256,6 +256,25 @@ def test_pitman_yor_is_a_distribution(spark, prose):
     assert math.isclose((10**points).sum() + 10**model.unseen, 1, abs_tol=0.02)
 
 
+def test_pitman_yor_sees_word_order(spark, prose):
+    texts = [" ".join(prose(1) + " alpha beta gamma delta " + prose(1) for _ in range(8)) for _ in range(30)]
+    shuffled = ["alpha beta gamma delta", "delta gamma beta alpha", "alpha novel", "novel alpha"]
+    df = spark.createDataFrame(list(enumerate(texts + shuffled)), "doc_id long, text string")
+    model = pitman_yor.train(df, F.col("doc_id") < 30)
+    made = {r["doc_id"]: r for r in pitman_yor.score(df, model, F.lit(False)).collect()}
+    assert made[30]["score"] > made[31]["score"] + 3 and made[30]["base_score"] == pytest.approx(made[31]["base_score"])
+    points = {h: 10**p for r in model.types.collect() for h, p in zip(np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["points"], "<f8"), strict=True)}
+    left, delta = {}, {}
+    for r in model.bigrams.collect():
+        left |= dict(zip(np.frombuffer(r["contexts"], "<u8"), 10 ** np.frombuffer(r["left_over"], "<f8"), strict=True))
+        delta |= dict(zip(np.frombuffer(r["pairs"], "<u8"), 10 ** np.frombuffer(r["deltas"], "<f8"), strict=True))
+    assert set(left) == set(points)
+    second = np.array(list(points), np.uint64)
+    for u in list(points)[:20]:  # each preceding word's restaurant is a distribution
+        g = pitman_yor._pair_hash(np.full(len(second), u, np.uint64), second)
+        assert math.isclose(sum(points[w] * delta.get(x, left[u]) for w, x in zip(second, g, strict=True)) + left[u] * 10**model.unseen, 1, abs_tol=0.02)
+
+
 def test_pitman_yor_on_awkward_rows(spark, prose):
     df = documents(spark, [prose(30), "unheard of"])
     made = pitman_yor.score(df, pitman_yor.train(df, F.col("doc_id") != 1), F.lit(False)).collect()
