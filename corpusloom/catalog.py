@@ -773,8 +773,8 @@ def densifier(s: SparkSession, d: str) -> DataFrame:
 @query("sparse_dot", f"WITH {_EMB}, q AS (SELECT * FROM e WHERE idx % 100 = 0) SELECT 'w' || a.idx AS a_word, 'w' || b.idx AS b_word, round(list_dot_product(a.v, b.v), 6) AS dot FROM q a, q b")
 def sparse_dot(s: SparkSession, d: str) -> DataFrame:
     """X14 X15 on the stated query set."""
-    sparse = vectors.to_sparse(embedded(s, d).where("idx % 100 = 0"))
-    return vectors.sparse_dot(sparse, sparse).withColumn("dot", F.round("dot", 6))
+    e = embedded(s, d)
+    return vectors.sparse_dot(vectors.to_sparse(e.where("idx % 100 = 0")), vectors.to_sparse(e)).withColumn("dot", F.round("dot", 6))
 
 
 _TOP = f"{_EMB}, sp AS (SELECT list, idx, unnest(v) AS val, unnest(range(len(v))) AS topic FROM e), hi AS (SELECT * FROM sp WHERE val >= 0.2000001)"

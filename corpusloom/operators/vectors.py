@@ -328,9 +328,17 @@ def to_dense(sparse: DataFrame, dimension: int) -> DataFrame:
     return made.select("word", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
 
 
+BROADCAST_NUMBERS = 100_000
+
+
 def sparse_dot(a: DataFrame, b: DataFrame) -> DataFrame:
-    """[X14] a_word, b_word, dot of sparse vectors, by their common dimensions."""
+    """[X14] a_word, b_word, dot of sparse vectors, by their common dimensions.
+
+    Where a has few numbers it is broadcast to b, dealt out by word, so that the pairs' products are added where they arise.
+    """
     x, y = (t.select(F.col("word").alias(f"{n}_word"), "dim", F.col("val").alias(f"{n}_val")) for t, n in ((a, "a"), (b, "b")))
+    if a.count() <= BROADCAST_NUMBERS:
+        x, y = F.broadcast(x), y.repartition("b_word")
     return x.join(y, "dim").groupBy("a_word", "b_word").agg(F.sum(F.col("a_val") * F.col("b_val")).alias("dot"))
 
 

@@ -209,6 +209,19 @@ def test_neighbours_and_small_problems(spark, circle):
     assert all(np.allclose(dense[r["word"]], r["vec"]) for r in circle.collect())
 
 
+def test_sparse_dot_searches_all_vectors(spark, tmp_path):
+    from corpusloom import catalog
+
+    rng = np.random.default_rng(4)
+    x = {i: rng.normal(size=6) for i in (0, 1, 2, 99, 100, 101, 250)}
+    spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in x.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = {(r["a_word"], r["b_word"]): r["dot"] for r in catalog.sparse_dot(spark, str(tmp_path)).collect()}
+    assert set(made) == {(f"w{a}", f"w{b}") for a in (0, 100) for b in x}
+    for (a, b), dot in made.items():
+        u, v = x[int(a[1:])], x[int(b[1:])]
+        assert math.isclose(dot, u @ v / math.sqrt((u @ u) * (v @ v)), abs_tol=1e-5)
+
+
 def test_lexicon(spark):
     own = spark.createDataFrame([("blaze", "big hot fire"), ("ember", "hot bit"), ("blaze", "a second one")], "headword string, definition string")
     assert [r[0] for r in rows(lexicon.numbered(own))] == ["blaze", "blaze_2", "ember"]
