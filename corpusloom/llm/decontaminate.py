@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-A copy of a test item in which e words were changed or lost still shares at least g - n*e of the item's g word n-grams.  The
-least score bounds e, and so gives a least number m of shared n-grams; among any g - m + 1 of an item's n-grams one at
-least is shared.  The seeds of an item are its g - m + 1 n-grams that are rarest in the training corpus, counted over all
-documents: no copy within the tolerance is missed, and frequent phrases open few alignments.  Every document that holds a
-seed is aligned with the item around its hits; the local alignment's score relative to the item's own decides.
+The least score leaves a copy of a test item some points to lose: a word changed or lost costs 3 and breaks n of the item's
+g word n-grams, one left off at an end costs 2 and breaks one, a word put in costs 1 and breaks n - 1.  So a copy that may
+lose p points still shares at least m = g - (n - 1) p n-grams, or g - p / 2 single words; each item takes the longest n, of
+SEED_WORDS at most, for which m is 1 or more.  Among any g - m + 1 of an item's n-grams one at least is shared.  The seeds
+of an item are its g - m + 1 n-grams that are rarest in the training corpus, counted over all documents: no copy within the
+tolerance is missed, and frequent phrases open few alignments.  Every document that holds a
+seed is aligned with the item around its hits, where enough of the item's words stand there for the score; the local alignment's score relative to the item's own decides.
 """
 
 from __future__ import annotations
@@ -35,6 +37,19 @@ def _word_hashes(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def points_to_lose(words: int, least_score: float) -> int:
+    return int((1 - least_score) * MATCH * words + 1e-9)
+
+
+def seed_bound(words: int, least_score: float, n: int) -> tuple[int, int]:
+    """(length of the seeds, least number of them that a copy shares) of an item with so many words."""
+    lose = points_to_lose(words, least_score)
+    for size in range(min(n, words), 1, -1):
+        if words - size + 1 - (size - 1) * lose >= 1:
+            return size, words - size + 1 - (size - 1) * lose
+    return 1, max(1, words - lose // MATCH)
+
+
 class Seeds:
     """n-gram -> (item, position) of some test items, with a bit filter in front."""
 
@@ -123,7 +138,7 @@ def _search(seeds_of, n: int, least_score: float):
                 rows = []
                 for (k, item), begins in hits.items():
                     own = items[item]
-                    slack = len(own) // 2 + 2
+                    slack = max(len(own) // 2, points_to_lose(len(own), least_score)) + 2  # words put in may stand before a seed
                     first, end = int(words.bounds[k]), int(words.bounds[k + 1])
                     best, covered = (0, 0, 0), -1
                     ordered = sorted(begins)
@@ -135,7 +150,10 @@ def _search(seeds_of, n: int, least_score: float):
                                     break
                                 reach = c
                             left, covered = max(first, b - slack), min(end, reach + len(own) + slack)
-                            score, s, e = align(own, words.hashes[left:covered])
+                            stretch = words.hashes[left:covered]
+                            if MATCH * np.count_nonzero(np.isin(own, stretch)) < least_score * MATCH * len(own) - 1e-9:
+                                continue  # the score is no higher
+                            score, s, e = align(own, stretch)
                             if score > best[0]:
                                 best = (score, left + s - first, left + e - first)
                     relative = best[0] / (MATCH * len(own))
@@ -154,8 +172,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
 
     score is the local alignment's, divided by the item's own (1 for an exact copy); pairs from least_score up are given,
     one row a document and item, at the best alignment.  Words are compared without case (A-Z) and ASCII punctuation.
-    Items shorter than n words count as a whole by themselves where they have two words at least; shorter, null and empty
-    items match nothing, as do null and empty texts.  Rows with equal id and text, and equal items, give repeated rows.
+    Seeds have n words at most, fewer where the bound asks for it.  Items of one word, null and empty items match nothing, as do null and empty texts.  Rows with equal id and text, and equal items, give repeated rows.
     Items are taken in batches of ITEM_BATCH, each broadcast, so any number of them can be searched.
     """
     spark = documents.sparkSession
@@ -177,8 +194,8 @@ def _search_batch(spark, source: DataFrame, items: DataFrame, batch: list, least
     hashes = _word_hashes([r["item"] for r in batch]) if batch else []
     parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)  # by n-gram length
     for k, own in enumerate(hashes):
-        size = min(n, len(own))
-        if size >= 2:
+        if len(own) >= 2:
+            size = seed_bound(len(own), least_score, n)[0]
             grams = kernel.ngram_hashes(own, size)
             parts[size].append((grams, np.full(len(grams), k), np.arange(len(grams))))
     out: DataFrame | None = None
@@ -191,8 +208,7 @@ def _search_batch(spark, source: DataFrame, items: DataFrame, batch: list, least
         chosen = []
         for grams, item, at in own:
             seen = np.array([counts.get(int(g), 0) for g in grams.astype(np.int64)])
-            edits = int((1 - least_score) * MATCH * len(hashes[item[0]]) / (MATCH - MISMATCH))  # words changed or lost
-            least = max(1, len(grams) - size * edits)
+            least = seed_bound(len(hashes[item[0]]), least_score, n)[1]
             rare = np.lexsort((at, seen))[: len(grams) - least + 1]
             chosen.append((grams[rare], item[rare], at[rare]))
         seeds = spark.sparkContext.broadcast((Seeds(*(np.concatenate(x) for x in zip(*chosen, strict=True))), hashes))

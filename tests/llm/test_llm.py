@@ -442,6 +442,26 @@ def test_leaks_equal_brute_force(spark, prose):
     assert {(r["doc_id"], r["item_id"]) for r in made.collect()} == want and len(want) >= 20
 
 
+def test_leaks_with_insertions_and_short_items(spark, prose):
+    rng = random.Random(12)
+    items = [" ".join(f"i{j}w{k}" for k in range(m)) for j, m in enumerate((2, 4, 5, 8, 12, 20, 30))]
+    texts = [prose(60)]
+    for item in items:
+        own = item.split()
+        middle = [*own[: len(own) // 2], "changed", *own[len(own) // 2 + 1 :]]
+        copies = [middle, own[1:], own[:1] + own[2:], [x for k, w in enumerate(own) for x in ([w, "put"] if k % 2 else [w])]]
+        for _ in range(12):
+            copy = list(own)
+            for _ in range(rng.randint(1, len(own))):
+                at = rng.randrange(len(copy) + 1)
+                copy[at : at + rng.choice((0, 0, 0, 1))] = [rng.choice(("put", "in"))]
+            copies.append(copy)
+        texts += [prose(15) + " " + " ".join(c) + " " + prose(15) for c in copies]
+    want = {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if smith_waterman(item.split(), t.split()) >= 0.6 * 2 * len(item.split())}
+    made = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), least_score=0.6)
+    assert {(r["doc_id"], r["item_id"]) for r in made.collect()} == want and len(want) > 50
+
+
 def test_leaks_on_awkward_rows(spark, prose):
     df = documents(spark, [prose(30), "two words"])
     items = spark.createDataFrame([(1, None), (2, ""), (3, "word"), (4, "two words"), (5, prose(20)), (5, LONG[-300:])], "item_id long, text string")
