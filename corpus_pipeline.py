@@ -39,17 +39,21 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group (5-word shingles, Jaccard 0.8) the document with the smallest doc_id."""
+    """Keeps one row of each near-duplicate group (5-word shingles, Jaccard 0.8): the smallest doc_id, then text hash; null ids last.
+
+    Rows without a word form no group; of theirs, those that repeat an id and text count once.
+    """
     prepare(spark)
-    groups = jaccard.jaccard_classes(docs, n=5, percent=80).where("component_id is not null and component_id <> doc_id")
-    gone = groups.select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = left.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is not null and n > 1").select("doc_id")
-    repeated = written(repeated, "repeated_ids")
+    gone = jaccard.jaccard_classes(docs, n=5, percent=80, firsts=True).where("not is_first").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
+    digest = F.xxhash64(F.col("text"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_digest")), "left_anti").select(*docs.columns)
+    repeated = left.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"\S")).groupBy(F.col("doc_id").alias("_twice_id"), digest.alias("_twice_digest")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = written(repeated, "repeated_rows")
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again)
+    twice = left["doc_id"].eqNullSafe(F.col("_twice_id")) & (F.xxhash64(left["text"]) == F.col("_twice_digest"))
+    again = left.join(repeated, twice, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, twice, "left_anti").select(*docs.columns).union(again)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def _sizes_and_sketch(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH_CELLS, np.uint32)
-        names, seen = ["doc_id", "n_shingles", "cls", "block", "counts"], False
+        names, seen = ["doc_id", "digest", "n_shingles", "cls", "block", "counts"], False
         for batch in batches:
             seen = seen or batch.num_rows > 0
             sizes, classes, cells = [], [], []
@@ -94,12 +94,12 @@ def _sizes_and_sketch(n: int):
             if cells:
                 sketch += np.bincount(np.concatenate(cells), minlength=SKETCH_CELLS).astype(np.uint32)
             nulls = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array([-1] * batch.num_rows, pa.int32()), nulls], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array([-1] * batch.num_rows, pa.int32()), nulls], names=names)
         if seen:
             blocks = range(SKETCH_CELLS // SKETCH_BLOCK)
             packed = [np.minimum(sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK], 65535).astype("<u2").tobytes() for b in blocks]
             k = len(packed)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
@@ -218,18 +218,20 @@ def _open_groups(percent: int):
     return run
 
 
-def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, firsts: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of each document row: components of links with Jaccard >= percent / 100.
 
     Words are runs of non-white-space after lower-casing A-Z; a set holds distinct n-word shingles, or the whole sequence
     where a text is shorter.  Null, empty and blank texts have no shingles, link with nothing and keep their own id as
     component_id.  component_id is the smallest doc_id of the component; null ids never are, unless no other is there.
     Repeated rows and ids stay as they are, one result row each.  An empty table gives an empty result.
+    firsts adds digest (the text's hash) and is_first: whether (doc_id, digest) is the component's smallest, null ids last;
+    null where there are no shingles.
     """
     spark = documents.sparkSession
-    source = documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[text].alias("text"))
-    seen = written(source.mapInArrow(_sizes_and_sketch(n), "doc_id long, n_shingles long, cls long, block int, counts binary"), "sets")
-    docs = seen.where("block < 0").select("doc_id", "n_shingles", "cls")
+    source = documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[text].alias("text"), F.xxhash64(documents[text]).alias("digest"))
+    seen = written(source.mapInArrow(_sizes_and_sketch(n), "doc_id long, digest long, n_shingles long, cls long, block int, counts binary"), "sets")
+    docs = seen.where("block < 0").select("doc_id", "digest", "n_shingles", "cls")
     sketch = np.zeros(SKETCH_CELLS, np.int64)
     for row in seen.where("block >= 0").select("block", "counts").groupBy("block").applyInPandas(_add_sketches, "block int, counts binary").collect():
         sketch[row["block"] * SKETCH_BLOCK : (row["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(row["counts"], "<u4")
@@ -301,6 +303,8 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     discard(packed, heads, shared, led, links, placed, asked, asked_members, more, every)
 
     classes = docs.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    named = classes.where("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    named = classes.where("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), *([F.min(place).alias("first")] if firsts else []))
     out = classes.join(named, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = ["digest", F.when(F.col("cls").isNotNull(), place.eqNullSafe(F.col("first"))).alias("is_first")] if firsts else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)

@@ -489,6 +489,17 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_near_copies_go_by_row(spark, prose):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(80) for _ in range(4))
+    rows = [(1, a), (2, a + " x"), (2, b), (3, c), (3, c + " y"), (3, c), (None, a), (None, d), (None, d + " z"), (None, d), (4, ""), (4, ""), (None, None), (None, None)]
+    made = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    left = Counter((r["doc_id"], r["text"]) for r in made)
+    assert left[1, a] == left[2, b] == left[4, ""] == 1 and left[None, None] == 2 and sum(left.values()) == 7
+    assert sum(n for (i, _), n in left.items() if i == 3) == 1 and left[None, d] + left[None, d + " z"] == 1
+
+
 def test_written_tables_go(spark):
     made = common.written(spark.range(5).toDF("id"), "t")
     path = made._loom_path.removeprefix("file:")
