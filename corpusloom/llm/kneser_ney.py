@@ -1,9 +1,10 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over 4-grams of the 48-symbol byte alphabet, so that every table has a fixed greatest size.  Counts of trusted
-documents are summed by cell in shards; continuation counts, discounts and back-off weights come from joins of the sharded
-tables by context.  The finished probabilities (48**4 at most, about 20 MB) are broadcast, each document's perplexity
-follows in one pass, and a document is kept if it does not exceed a quantile of its language's held-back trusted documents.
+The model is over words: a word given the one before it, backing off to in how many pairs the word comes second, and from
+there to a uniform distribution over the words of trusted text and one for all others.  Pairs of trusted text are counted by
+batch and merged in shards, continuation counts are a join of the pairs with the words, and a document's pairs, counted by
+batch, are joined with the sharded counts, from which the sums by document come back (see `pairs`).  A document is kept if
+its perplexity does not exceed a quantile of its language's held-back trusted documents.
 """
 
 from __future__ import annotations
@@ -16,123 +17,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel, symbols
-from .common import pick, unit_hash, written
+from . import pairs as P
+from .common import discard, pick, unit_hash, written
 
-SIZE, ORDER = symbols.SIZE, symbols.ORDER
 MAX_BROADCAST_IDS = 500_000
-LEAST_TRUSTED = 20  # of a language, for a threshold of its own
-
-
-def text_cells(column: pa.Array) -> Iterator[np.ndarray]:
-    """4-gram cells of each text, an END after it; runs of white space count once."""
-    for lo, hi, data, offsets in kernel.chunks(column):
-        base = int(offsets[0])
-        n, bounds = int(offsets[-1]) - base, offsets - base
-        ends = np.zeros(n + hi - lo, np.int32)
-        place = np.arange(n) + np.repeat(np.arange(hi - lo), np.diff(bounds))
-        ends[:] = symbols.END
-        ends[place] = symbols.CLASS[data[base : base + n]]
-        again = np.zeros(len(ends), bool)
-        again[1:] = (ends[1:] == symbols.BLANK) & (ends[:-1] == symbols.BLANK)
-        starts = bounds[:-1] + np.arange(hi - lo)
-        again[starts] = False
-        kept = np.flatnonzero(~again)
-        starts = np.searchsorted(kept, starts)
-        cells = symbols.contexts(ends[kept], starts)
-        for a, b in zip(starts, np.append(starts[1:], len(kept)), strict=True):
-            yield cells[a:b]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(symbols.CELLS, np.int64)
-    held: list[np.ndarray] = []
-    for batch in batches:
-        for cells in text_cells(batch.column(0)):
-            held.append(cells)
-            if len(held) >= 512 or len(cells) > 1 << 20:
-                total += np.bincount(np.concatenate(held), minlength=symbols.CELLS)
-                held = []
-    if held:
-        total += np.bincount(np.concatenate(held), minlength=symbols.CELLS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["cell", "n"])
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2 and D3+ of Chen and Goodman from the numbers of cells with counts 1 to 4; 0.5, 1 and 1.5 where one is zero."""
-    r = counts.agg(*(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(1, 5))).first()
-    n = [float(r[f"n{k}"] or 0) for k in range(1, 5)]
-    if min(n) == 0:
-        return [0.5, 1.0, 1.5]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [float(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.05, k - 0.05)) for k in (1, 2, 3)]
-
+PRIOR_DOCUMENTS = 20  # a language's threshold is drawn towards that of all languages as by so many documents
 
-def train(trusted: DataFrame, text: str = "text") -> np.ndarray | None:
-    """Probability of every 4-gram cell's last symbol after its context; None without a text."""
-    counts = trusted.where(trusted[text].isNotNull()).select(trusted[text].alias("text")).mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = written(counts, "counts4")
-    if counts.isEmpty():
-        return None
-    p = np.full(SIZE, 1 / (SIZE - 1), np.float64)  # START is never predicted
-    p[symbols.START] = 0
-    orders = [counts]
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: in how many contexts one longer a shorter gram was seen
-        orders.append(written(orders[-1].groupBy((F.col("cell") % SIZE**k).alias("cell")).agg(F.count("*").alias("n")), f"counts{k}"))
-    for k, own in zip(range(1, ORDER + 1), reversed(orders), strict=True):
-        d = _discounts(own)
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        own = own.withColumn("context", F.floor(F.col("cell") / SIZE)).withColumn("cut", F.least(cut, F.col("n").cast("double")))
-        contexts = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        joined = own.join(contexts, "context").select("cell", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("p"), (F.col("freed") / F.col("total")).alias("back"))
-        rows = joined.toPandas()  # SIZE ** k rows at most
-        width = SIZE ** (k - 1)
-        back = np.ones(width)
-        back[rows["context"]] = rows["back"]
-        p = (np.tile(p, SIZE).reshape(width, SIZE) if k > 1 else p.reshape(1, SIZE)) * back[:, None]
-        p = p.reshape(-1)
-        p[rows["cell"]] += rows["p"]
-    return p.astype(np.float32)
-
-
-def perplexities(documents: DataFrame, model: np.ndarray | None, text: str = "text") -> DataFrame:
-    """Adds perplexity, per symbol, END included; null for null texts and without a model."""
-    name = pick(documents, "perplexity")
-    if model is None:
-        return documents.withColumn(name, F.lit(None).cast("double"))
-    shared = documents.sparkSession.sparkContext.broadcast(-np.log(np.maximum(model, 1e-12)))
 
-    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in columns:
-            none = texts.isna().to_numpy()
-            cost = np.array([shared.value[c].mean(dtype=np.float64) for c in text_cells(pa.array(texts, pa.string(), from_pandas=True))])
-            yield pd.Series(np.where(none, np.nan, np.exp(cost))).astype("Float64").mask(none)
+def discounts(seen: dict[str, int]) -> np.ndarray:
+    """0 and D1, D2, D3+ of Chen and Goodman from the numbers of counts 1 to 4, each taken as one more, so that none is 0."""
+    n = [seen[f"n{k}"] + 1 for k in range(1, 5)]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([0.0, *(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.05, k - 0.05) for k in (1, 2, 3))])
 
-    return documents.withColumn(name, F.pandas_udf(run, "double")(documents[text]))
 
+def word_points(customers: np.ndarray, cut: np.ndarray, total: int, freed: float, distinct: int) -> np.ndarray:
+    """log10 p of words from the numbers of pairs they come second in."""
+    return np.log10((customers - cut[np.minimum(customers, 3)]) / total + freed / total / (distinct + 1))
 
-def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.995, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
-    """Adds perplexity, threshold and keep to documents.
 
-    Trusted are the documents labelled 1 (the largest of repeated labels).  Four fifths of them, by a hash of the id, train
-    the model; the quantile is taken over the rest, by lang; null languages and those with fewer than LEAST_TRUSTED such
-    documents use all languages' quantile.  Null texts are not kept; empty ones count like any other; with no trusted text
-    all others are kept.  All columns of documents stay; added names get underscores where they clash.
+def train(trusted: DataFrame, text: str = "text") -> P.PairModel | None:
+    """Counts the words and pairs of all trusted documents with a text; None without one."""
+    spark = trusted.sparkSession
+    texts = P.texts_of(trusted.where(trusted[text].isNotNull()), text)
+    if texts.isEmpty():
+        return None
+    shards, hot = P.shards_for(texts), P.hot_words(texts)
+    shared = spark.sparkContext.broadcast(hot)
+    words = P.count_words(texts, shards, False)
+    stats, hot_counts = P.count_stats(words, "counts", 0), P.collect_hot(words, "counts", hot)
+    pairs = P.count_pairs(texts, shards, lambda: shared.value, len(hot))
+    taken = discounts(P.count_stats(pairs, "pairs", 3))
+    notes = written(pairs.mapInArrow(P.first_notes(shards, lambda: shared.value, lambda n: taken[np.minimum(n, 3)]), P.NOTES), "notes")
+    held = P.collect_restaurants(notes, len(hot))
+
+    def continued(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        return own[["shard", "hashes", "counts"]].assign(customers=[P.pack(P.customers_of(own, sent, shared.value))])
+
+    seconds = words.groupBy("shard").cogroup(notes.where(f"kind = {P.CUSTOMERS}").groupBy("shard"))
+    seconds = written(seconds.applyInPandas(continued, "shard int, hashes binary, counts binary, customers binary"), "seconds")
+    seen = P.count_stats(seconds, "customers", 0)
+    cut = discounts(seen)
+    freed = float(cut[1] * seen["n1"] + cut[2] * seen["n2"] + cut[3] * (seen["rows"] - seen["n1"] - seen["n2"]))
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [P.pack(word_points(P.unpack(x)[0], cut, seen["total"], freed, seen["rows"])) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["shard", "hashes", "counts", "points"])
+
+    model = written(seconds.mapInArrow(points, "shard int, hashes binary, counts binary, points binary"), "model")
+    discard(words, seconds)
+    left = np.where(hot_counts > 0, np.log10(np.maximum(held, 1e-300) / np.maximum(hot_counts, 1)), 0.0)
+    unseen = float(np.log10(freed / seen["total"] / (seen["rows"] + 1)))
+    return P.PairModel(model, pairs, notes.where(f"kind = {P.ASKED}"), taken, 0.0, shards, stats["total"], stats["rows"], unseen, hot, hot_counts, P.collect_hot(model, "points", hot, "<f8"), left)
+
+
+def perplexities(documents: DataFrame, model: P.PairModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of documents (all by default) and perplexity, per word, the text's end included; null for null texts
+    and without a model."""
+    keep = documents.columns if keep is None else keep
+    name = pick(documents.select(*keep), "perplexity")
+    if model is None:
+        return documents.select(*keep).withColumn(name, F.lit(None).cast("double"))
+    own = documents.select(*(documents[c].alias(f"_{k}") for k, c in enumerate(keep)), documents[text].isNull().alias("none"), documents[text].alias("text"))
+    scored = P.score(own, model, "text")
+    value = F.when(~F.col("none"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return scored.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), value.alias(name))
+
+
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.995, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of documents (all by default), perplexity, threshold and keep.
+
+    Trusted are the documents labelled 1 (the largest of repeated labels; null ids are left out).  Four fifths of them, by a
+    hash of the id, train the model; the rest give the thresholds: a language's is the quantile of its logarithmic
+    perplexities, averaged with that of all languages, which counts as PRIOR_DOCUMENTS documents; so null languages and those
+    without such documents have that of all.  Null texts are not kept; empty ones are their end and count like any other;
+    texts of any length count whole; repeated rows get equal results.  With no trusted text all other texts are kept; an
+    empty table gives an empty one.  Added names get underscores where they clash.
     """
+    keep = documents.columns if keep is None else keep
     trusted = labels.where(labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("_trusted")).agg(F.max(label).alias("_y")).where("_y = 1").select("_trusted")
     trusted = written(trusted, "trusted")
     small = F.broadcast(trusted) if trusted.count() <= MAX_BROADCAST_IDS else trusted
     held = unit_hash(F.lit("held"), F.col("_trusted")) < 0.2
     own = documents.select(documents[doc_id].alias("_id"), documents[text].alias("_text")).join(small.where(~held), F.col("_id") == F.col("_trusted"), "left_semi")
-    scored = perplexities(documents, train(own, "_text"), text)
-    p = scored.columns[-1]
-    thresholds = scored.select(documents[doc_id].alias("_id"), F.col(f"`{lang}`").alias("_lang"), F.col(p).alias("_p")).join(small.where(held), F.col("_id") == F.col("_trusted"), "left_semi").where("_p is not null")
-    thresholds = written(thresholds.groupBy("_lang").agg(F.percentile_approx("_p", quantile, 10000).alias("_t"), F.count("*").alias("_n")).union(thresholds.agg(F.lit(None).cast("string"), F.percentile_approx("_p", quantile, 10000), F.count("*") + (1 << 40))), "thresholds")
-    every = thresholds.where(f"_n >= {1 << 40}").agg(F.max("_t")).first()[0]
-    by_lang = thresholds.where(f"_lang is not null and _n >= {LEAST_TRUSTED} and _n < {1 << 40}").select("_lang", "_t")
-    name, keep = pick(scored, "threshold"), pick(scored, "keep")
-    made = scored.join(F.broadcast(by_lang) if by_lang.count() <= MAX_BROADCAST_IDS else by_lang, scored[lang] == F.col("_lang"), "left")
-    limit = F.coalesce(F.col("_t"), F.lit(every).cast("double"))
-    made = made.withColumn(name, limit).withColumn(keep, F.col(f"`{text}`").isNotNull() & (F.col(p).isNull() | F.col(name).isNull() | (F.col(p) <= F.col(name))))
-    return made.select(*documents.columns, p, name, keep)
+    names = [pick(documents.select(*keep), c) for c in ("perplexity", "threshold", "keep")]
+    carried = documents.select(*(documents[c].alias(f"_{k}") for k, c in enumerate(keep)), documents[doc_id].alias("_id"), documents[lang].cast("string").alias("_lang"), documents[text].isNotNull().alias("_some"), documents[text].alias("_text"))
+    scored = written(perplexities(carried, train(own, "_text"), "_text", [c for c in carried.columns if c != "_text"]), "scored")
+    marks = scored.where("perplexity is not null").join(small.where(held), F.col("_id") == F.col("_trusted"), "left_semi").select("_lang", F.ln("perplexity").alias("p"))
+    level = F.percentile_approx("p", quantile, 10000)
+    every = marks.agg(level).first()[0]
+    by_lang = marks.where("_lang is not null").groupBy("_lang").agg(level.alias("t"), F.count("*").alias("n"))
+    by_lang = written(by_lang.select(F.col("_lang").alias("_of"), F.exp((F.col("t") * F.col("n") + F.lit(every).cast("double") * PRIOR_DOCUMENTS) / (F.col("n") + PRIOR_DOCUMENTS)).alias("_t")), "thresholds")
+    made = scored.join(F.broadcast(by_lang) if by_lang.count() <= MAX_BROADCAST_IDS else by_lang, F.col("_lang") == F.col("_of"), "left")
+    limit = F.coalesce(F.col("_t"), F.exp(F.lit(every).cast("double")))
+    kept = F.col("_some") & (F.col("perplexity").isNull() | limit.isNull() | (F.col("perplexity") <= limit))
+    return made.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), F.col("perplexity").alias(names[0]), limit.alias(names[1]), kept.alias(names[2]))

@@ -38,7 +38,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of the trusted ones, and whether its language's threshold keeps it."""
-    made = kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    made = kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return made.select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 
