@@ -19,7 +19,8 @@ SQL: dict[str, str] = {}
 
 STOP = ("the", "of", "and", "to", "a", "in", "it", "is", "that", "on", "or", "an")
 LISTED = ", ".join(f"'{w}'" for w in STOP)
-PERMUTATIONS, BANDS, ROWS = 16, 4, 4
+PERMUTATIONS = 128
+BANDS, ROWS = dedup.bands_for(0.85, PERMUTATIONS)
 
 
 def query(name: str, sql: str | None = None):
@@ -68,15 +69,15 @@ def good_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOK = r"tok AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents)"
-POST = TOK + ", post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL)"
+POST = TOK + ", post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL)"
 BI = "bi AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tok), bipost AS (SELECT doc_id, term, count(*) AS tf FROM bi GROUP BY ALL)"
 ASK = r"ask AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)"
 LEN = "len AS (SELECT doc_id, sum(tf)::DOUBLE AS dl FROM post GROUP BY doc_id), avg AS (SELECT avg(dl) AS avgdl FROM len)"
 BM25 = "2.2 * p.tf / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / a.avgdl))"
-STAT = "st AS (SELECT 'lemmas' AS field, term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post GROUP BY term)"
+STAT = "st AS MATERIALIZED (SELECT 'lemmas' AS field, term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post GROUP BY term)"
 STAT2 = STAT + ", st2 AS (SELECT * FROM st UNION ALL SELECT 'lemmas_bigrams', term, sum(tf)::DOUBLE, count(*) FROM bipost GROUP BY term)"
-SUB = "sub AS (SELECT term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY term)"
-RATIO = "r AS (SELECT s.term, ln(s.tf / b.tf) - ln((SELECT sum(tf) FROM sub) / (SELECT sum(tf) FROM st)) AS weight, s.df AS subset_df, b.df AS base_df FROM sub s JOIN st b USING (term))"
+SUB = "sub AS MATERIALIZED (SELECT term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY term)"
+RATIO = "small AS MATERIALIZED (SELECT sum(tf) AS size FROM sub), large AS MATERIALIZED (SELECT sum(tf) AS size FROM st), r AS MATERIALIZED (SELECT s.term, ln(s.tf / b.tf) - ln(small.size / large.size) AS weight, s.df AS subset_df, b.df AS base_df FROM sub s JOIN st b USING (term), small, large)"
 
 
 # --- search -------------------------------------------------------------------------------------------------------------
@@ -143,7 +144,11 @@ def spec_search(s: SparkSession, d: str) -> DataFrame:
     return spec.run(s, config, docs(s, d))
 
 
-@query("feedback_search")
+_BEST = f"best AS (SELECT doc_id FROM post p JOIN ask USING (term) JOIN len l USING (doc_id), avg a GROUP BY doc_id ORDER BY sum({BM25}) DESC, doc_id LIMIT 100), sub AS MATERIALIZED (SELECT term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post WHERE doc_id IN (FROM best) GROUP BY term)"
+_AGAIN = r"k AS (SELECT term, weight FROM r WHERE weight >= 0 AND regexp_full_match(term, '[\p{L}.\-]+') AND NOT starts_with(term, '-') AND NOT ends_with(term, '-') AND term <> 'NNP'), asked AS MATERIALIZED (SELECT k.term, k.weight FROM k JOIN ask USING (term) UNION ALL (SELECT term, weight FROM k WHERE term NOT IN (FROM ask) ORDER BY weight DESC, term LIMIT 20))"
+
+
+@query("feedback_search", f"WITH {POST}, {LEN}, {ASK}, {STAT}, {_BEST}, {RATIO}, {_AGAIN} SELECT doc_id, round(sum({BM25} * q.weight), 6) AS score FROM post p JOIN asked q USING (term) JOIN len l USING (doc_id), avg a GROUP BY doc_id HAVING sum({BM25} * q.weight) > 0")
 def feedback_search(s: SparkSession, d: str) -> DataFrame:
     """SURVEY 3.3: one round of relevance feedback."""
     return feedback.feedback(postings(s, d), asked(s, d), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
@@ -226,10 +231,16 @@ def tfdf_report(s: SparkSession, d: str) -> DataFrame:
 
 @query("idf_weights", f"WITH {POST}, {STAT}, n AS (SELECT count(*) AS n FROM documents) SELECT term, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 0), 6) AS weight FROM st, n")
 def idf_weights(s: SparkSession, d: str) -> DataFrame:
-    """A13 L19 L20 O3."""
+    """A13 O3."""
     return stats.idf_weights(base_stats(s, d), docs(s, d).count()).select("term", F.round("weight", 6).alias("weight"))
 
 
+@query("idf_weights_listed", f"WITH {POST}, {STAT}, n AS (SELECT count(*) AS n FROM documents), {ASK} SELECT term, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 0), 6) AS weight FROM st, n WHERE term IN (FROM ask) AND greatest(ln((n - df + 0.5) / (df + 0.5)), 0) >= 1.2345678")
+def idf_weights_listed(s: SparkSession, d: str) -> DataFrame:
+    """Of listed words, from a threshold up."""
+    return stats.idf_weights(base_stats(s, d), docs(s, d).count(), asked(s, d), 1.2345678).select("term", F.round("weight", 6).alias("weight"))
+
+
 @query("tf_log_ratio", f"WITH {POST}, {STAT}, {SUB}, {RATIO} SELECT term, round(weight, 6) AS weight FROM r WHERE weight >= 0.1234567")
 def tf_log_ratio(s: SparkSession, d: str) -> DataFrame:
     """A14 J4 L20 O3."""
@@ -242,7 +253,7 @@ def tf_log_ratio_dfs(s: SparkSession, d: str) -> DataFrame:
     return stats.log_tf_ratio(subset_stats(s, d), base_stats(s, d), print_dfs=True).withColumn("weight", F.round("weight", 6))
 
 
-@query("tf_log_ratio_words", f"WITH {POST}, {STAT}, sub0 AS (SELECT term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY term), {ASK}, sub AS (SELECT * FROM sub0 WHERE term IN (FROM ask)), {RATIO} SELECT term, round(weight, 6) AS weight FROM r")
+@query("tf_log_ratio_words", f"WITH {POST}, {STAT}, sub0 AS (SELECT term, sum(tf)::DOUBLE AS tf, count(*) AS df FROM post WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY term), {ASK}, sub AS MATERIALIZED (SELECT * FROM sub0 WHERE term IN (FROM ask)), {RATIO} SELECT term, round(weight, 6) AS weight FROM r")
 def tf_log_ratio_words(s: SparkSession, d: str) -> DataFrame:
     """Of listed words only."""
     return stats.log_tf_ratio(subset_stats(s, d), base_stats(s, d), asked(s, d)).select("term", F.round("weight", 6).alias("weight"))
@@ -271,6 +282,12 @@ for _which, _in in (("all", "('new', 'query')"), ("new", "('new')"), ("query", "
     query(f"select_terms_{_which}", _SELECT + _in)(_select(_which))
 
 
+@query("select_terms_unchecked", f"WITH {POST}, {STAT}, {SUB}, {RATIO}, {ASK} SELECT r.term, round(weight, 6) AS weight, subset_df, base_df, CASE WHEN ask.term IS NULL THEN 'new' ELSE 'query' END AS label FROM r LEFT JOIN ask ON r.term = ask.term WHERE weight >= 0.2000001 AND base_df >= 3 AND subset_df >= 2 AND base_df / subset_df::DOUBLE <= 4.0")
+def select_terms_unchecked(s: SparkSession, d: str) -> DataFrame:
+    """L17 without L18."""
+    return stats.select_terms(ratios(s, d), asked(s, d), "all", sane=False, **_BOUNDS).withColumn("weight", F.round("weight", 6))
+
+
 @query("select_terms_sorted", _SELECT + "('new', 'query') ORDER BY base_df DESC, term LIMIT 200")
 def select_terms_sorted(s: SparkSession, d: str) -> DataFrame:
     """The 200 with the highest document frequency."""
@@ -591,25 +608,35 @@ def domain_exclude(s: SparkSession, d: str) -> DataFrame:
     return filters.domain_filter(table(s, d, "pages").select("page_id", "url"), ["example.com"], expression="concat(domain, '.', suffix)", retain=False)
 
 
-@query("language_filter", "SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de')")
-def language_filter(s: SparkSession, d: str) -> DataFrame:
-    """L3 by the given label."""
-    return docs(s, d).select("doc_id", "lang").where(F.col("lang").isin("fr", "de"))
-
-
 _VOTES = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own.split())})))::INTEGER AS n_{code}" for code, own in sorted(filters.FUNCTION_WORDS.items()))
 _BEST = "greatest(" + ", ".join(f"n_{c}" for c in sorted(filters.FUNCTION_WORDS)) + ")"
 _TIES = " + ".join(f"(n_{c} = best)::INTEGER" for c in sorted(filters.FUNCTION_WORDS))
 _CASE = " ".join(f"WHEN n_{c} = best THEN '{c}'" for c in sorted(filters.FUNCTION_WORDS))
 
 
-@query("language_detect", rf"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents), v AS (SELECT doc_id, {_VOTES} FROM w), b AS (SELECT *, {_BEST} AS best FROM v) SELECT doc_id, CASE WHEN best = 0 OR {_TIES} > 1 THEN NULL {_CASE} END AS lang FROM b")
+_DETECT = rf"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM documents), v AS (SELECT doc_id, {_VOTES} FROM w), b AS (SELECT *, {_BEST} AS best FROM v) SELECT doc_id, CASE WHEN best = 0 OR {_TIES} > 1 THEN NULL {_CASE} END AS lang FROM b"
+
+
+@query("language_detect", _DETECT)
 def language_detect(s: SparkSession, d: str) -> DataFrame:
     """L3: the built-in detector; null where it is undecided."""
     return docs(s, d).select("doc_id", filters.detect_language([F.col("text")]).alias("lang"))
 
 
-@query("language_detect_chain")
+@query("language_filter", rf"SELECT doc_id FROM ({_DETECT}) WHERE lang IN ('fr', 'de')")
+def language_filter(s: SparkSession, d: str) -> DataFrame:
+    """L3: documents found to be in one of two languages."""
+    return filters.language_filter(docs(s, d).select("doc_id", "text"), ["text"], ["fr", "de"]).select("doc_id")
+
+
+_GRAMS = ", ".join(f"len(list_filter(g, lambda x: x IN ({', '.join(repr(x) for x in own)}))) / sqrt({len(own)}) AS t_{code}" for code, own in sorted(filters.trigram_profiles().items()))
+_TOP3 = "greatest(" + ", ".join(f"t_{c}" for c in sorted(filters.FUNCTION_WORDS)) + ")"
+_TIES3 = " + ".join(f"(t_{c} = top)::INTEGER" for c in sorted(filters.FUNCTION_WORDS))
+_CASE3 = " ".join(f"WHEN t_{c} = top THEN '{c}'" for c in sorted(filters.FUNCTION_WORDS))
+_CHAIN = rf"WITH a AS ({_DETECT}), f AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ' AS flat FROM documents), g AS (SELECT doc_id, list_transform(range(1, greatest(length(flat) - 1, 2)), lambda i: substr(flat, i, 3)) AS g FROM f), v AS (SELECT doc_id, {_GRAMS} FROM g), b AS (SELECT *, {_TOP3} AS top FROM v) SELECT doc_id, coalesce(a.lang, CASE WHEN top = 0 OR {_TIES3} > 1 THEN NULL {_CASE3} END) AS lang FROM b JOIN a USING (doc_id)"
+
+
+@query("language_detect_chain", _CHAIN)
 def language_detect_chain(s: SparkSession, d: str) -> DataFrame:
     """L3: two detectors in order."""
     return docs(s, d).select("doc_id", filters.detect_language([F.col("text")], ["function_words", "trigrams"]).alias("lang"))
@@ -770,7 +797,7 @@ def densifier(s: SparkSession, d: str) -> DataFrame:
     return vectors.project(e, vectors.densifier(e, gold)).select("word", F.round("score", 6).alias("score"))
 
 
-@query("sparse_dot", f"WITH {_EMB}, q AS (SELECT * FROM e WHERE idx % 100 = 0) SELECT 'w' || a.idx AS a_word, 'w' || b.idx AS b_word, round(list_dot_product(a.v, b.v), 6) AS dot FROM q a, q b")
+@query("sparse_dot", f"WITH {_EMB}, q AS (SELECT * FROM e WHERE idx % 100 = 0) SELECT 'w' || a.idx AS a_word, 'w' || b.idx AS b_word, round(list_dot_product(a.v, b.v), 6) AS dot FROM q a, e b")
 def sparse_dot(s: SparkSession, d: str) -> DataFrame:
     """X14 X15 on the stated query set."""
     e = embedded(s, d)
@@ -800,7 +827,7 @@ def topic_words(s: SparkSession, d: str) -> DataFrame:
 
 # --- word lists ---------------------------------------------------------------------------------------------------------
 
-_LISTS = r"wl AS (SELECT DISTINCT lang AS list, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM wl GROUP BY word)"
+_LISTS = r"wl AS MATERIALIZED (SELECT DISTINCT lang AS list, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM wl GROUP BY word)"
 
 
 def word_lists(s: SparkSession, d: str) -> DataFrame:
@@ -867,7 +894,7 @@ def _similar(s: SparkSession, d: str, common: bool) -> DataFrame:
 
 @query("definition_similarity", _SIM + " SELECT word, sh.headword, round(c / sqrt(a.n * b.n::DOUBLE), 6) AS similarity FROM sh JOIN sz a ON a.headword = sh.headword JOIN sz b ON b.headword = sh.word")
 def definition_similarity(s: SparkSession, d: str) -> DataFrame:
-    """J12 X17 X18, for the stated query set."""
+    """J12 X17, for the stated query set."""
     return _similar(s, d, False).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -877,9 +904,19 @@ def definition_common_words(s: SparkSession, d: str) -> DataFrame:
     return _similar(s, d, True).select("word", "headword", F.array_join("common", " ").alias("common"))
 
 
+@query("definition_numbered", "WITH df AS (SELECT lower(string_split(p_name, ' ')[1]) AS headword, p_name || p_partkey AS definition FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY headword ORDER BY definition) AS n FROM df) SELECT CASE WHEN n = 1 THEN headword ELSE headword || '_' || n END AS headword, definition FROM n")
+def definition_numbered(s: SparkSession, d: str) -> DataFrame:
+    """Equal headwords told apart."""
+    own = table(s, d, "part").select(F.lower(F.split("p_name", " ")[0]).alias("headword"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("definition"))
+    return lexicon.numbered(own)
+
+
 @query("definition_index", r"WITH df AS (SELECT p_name || '_' || p_partkey AS headword, unnest(regexp_extract_all(p_type, '[^\s]+')) AS term FROM part) SELECT headword, array_to_string(list(DISTINCT term ORDER BY term), ' ') AS words FROM df WHERE term IN ('STEEL', 'COPPER', 'TIN', 'ECONOMY') GROUP BY headword")
 def definition_index(s: SparkSession, d: str) -> DataFrame:
     """J13 A19."""
     own = table(s, d, "part").select(F.concat("p_name", F.lit("_"), F.col("p_partkey").cast("string")).alias("headword"), F.col("p_type").alias("definition"))
     words = s.createDataFrame([("STEEL",), ("COPPER",), ("TIN",), ("ECONOMY",)], "word string")
     return lexicon.headwords_of(own, words).select("headword", F.array_join("words", " ").alias("words"))
+
+
+from . import catalog_files  # noqa: E402, F401  registers the queries that write files and read them back

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 PRIME = 2147483647
 
 
@@ -39,15 +42,19 @@ def bands_for(threshold: float, n: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signatures(df: DataFrame, key: str, shingles: Column, num_perm: int = 128, keep_short: bool = False) -> DataFrame:
-    """[X12 Q6] key, minhash: a minimum a permutation over the document's shingles; documents without any are dropped.
+def signatures(df: DataFrame, key: str, shingles: Column, num_perm: int = 128, keep_short: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """[X12 Q6] key, the fields to keep and minhash: a minimum a permutation over the document's shingles.
 
-    Each shingle is hashed once; the permutations are aggregates of one grouping.
+    Documents without any are dropped, or with keep_short have nulls.  Each shingle is hashed once, and nothing is shuffled.
     """
-    rows = df.select(key, F.explode_outer(shingles).alias("s") if keep_short else F.explode(shingles).alias("s")).select(key, (hash32(F.col("s")) % PRIME).alias("h"))
-    least = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(num_perm))]
-    made = rows.groupBy(key).agg(*least)
-    return made.select(key, F.array(*[f"m{i}" for i in range(num_perm)]).alias("minhash"))
+    hashes = F.transform(shingles, lambda x: hash32(x) % PRIME)
+
+    def least(a: int, b: int) -> Column:
+        return F.array_min(F.transform("_h", lambda x: (x * a + b) % PRIME))
+
+    made = df.select(key, *keep, hashes.alias("_h"))
+    made = made if keep_short else made.where(F.size("_h") > 0)
+    return made.select(key, *keep, F.array(*[least(a, b) for a, b in permutations(num_perm)]).alias("minhash"))
 
 
 def buckets(signed: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
@@ -69,17 +76,10 @@ def survivors(buckets_: DataFrame, key: str, urls: DataFrame | None = None) -> D
     kept if it is the smallest undecided one in all its buckets; the others of these buckets go.  urls(key, url) adds a
     bucket for each url.  Rounds are written to the checkpoint folder.
     """
-    spark = buckets_.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="loom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
-    rows = buckets_.select(F.col(key).alias("k"), F.concat_ws(":", F.col("band").cast("string"), "bucket").alias("g"))
+    shared_folder(buckets_.sparkSession)
+    rows = buckets_.select(F.col(key).alias("k"), F.xxhash64("band", "bucket").alias("g"))
     if urls is not None:
-        rows = rows.union(urls.select(F.col(key).alias("k"), F.concat(F.lit("url:"), F.col(urls.columns[-1])).alias("g")).where("g is not null"))
+        rows = rows.union(urls.select(F.col(key).alias("k"), F.when(F.col(urls.columns[-1]).isNotNull(), F.xxhash64(F.lit("url"), F.col(urls.columns[-1]))).alias("g")).where("g is not null"))
     alone = rows.groupBy("g").agg(F.count("*").alias("n"))
     shared = rows.join(alone.where("n > 1").select("g"), "g", "left_semi").distinct().checkpoint()
     kept = rows.select("k").distinct().join(shared.select("k").distinct(), "k", "left_anti")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,19 +51,17 @@ def by_function_words(text: Column) -> Column:
 @detector("trigrams")
 def by_trigrams(text: Column) -> Column:
     """Like function_words, by the function words' letter trigrams with word bounds; settles texts without such words."""
-    profiles = {code: {f" {w} "[i : i + 3] for w in own.split() for i in range(len(w))} for code, own in FUNCTION_WORDS.items()}
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substr(t, i, F.lit(3)))
+    share = lambda own, listed: F.size(F.filter(own, lambda g: g.isin(listed))) / F.lit(math.sqrt(len(listed)))
+    votes = lambda own: F.sort_array(F.array(*[F.struct(share(own, listed).alias("n"), F.lit(code).alias("code")) for code, listed in sorted(trigram_profiles().items())]), asc=False)
+    best = lambda v: F.when((v[0]["n"] > 0) & (v[0]["n"] > v[1]["n"]), v[0]["code"]).otherwise(UNDECIDED)
+    return bind(bind(bind(flat, grams), votes), best)
 
-    @F.pandas_udf("string")
-    def detect(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            flat = " " + re.sub(r"[\W\d_]+", " ", (t or "").lower()).strip() + " "
-            grams = [flat[i : i + 3] for i in range(len(flat) - 2)]
-            votes = sorted(((sum(g in own for g in grams) / math.sqrt(len(own)), code) for code, own in profiles.items()), reverse=True)
-            out.append(votes[0][1] if votes[0][0] > 0 and votes[0][0] > votes[1][0] else UNDECIDED)
-        return pd.Series(out)
 
-    return detect(text)
+def trigram_profiles() -> dict[str, list[str]]:
+    """The letter trigrams, with word bounds, of each language's function words."""
+    return {code: sorted({f" {w} "[i : i + 3] for w in own.split() for i in range(len(w))}) for code, own in FUNCTION_WORDS.items()}
 
 
 def detect_language(fields: Sequence[Column], libraries: Sequence[str] = ("function_words",)) -> Column:
@@ -106,9 +103,3 @@ def domain_filter(df: DataFrame, domains: DataFrame | Sequence[str], field: str
         listed = F.col("_value").isin(list(domains)) if len(domains) else F.lit(False)
         made = made.where(listed if retain else ~listed)
     return made.select(*df.columns)
-
-
-def profile_votes(text: str, profiles: Mapping[str, set[str]]) -> dict[str, int]:
-    """Votes of trigram profiles for one text, for checks."""
-    flat = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
-    return {code: sum(flat[i : i + 3] in own for i in range(len(flat) - 2)) for code, own in profiles.items()}

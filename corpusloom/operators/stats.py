@@ -131,17 +131,18 @@ def select_terms(
     min_udf: float | None = None, max_udf: float | None = None, min_bdf: float | None = None, max_bdf: float | None = None,
     min_uedf: float | None = None, max_uedf: float | None = None, min_bedf: float | None = None, max_bedf: float | None = None,
     min_udfr: float | None = None, max_udfr: float | None = None, min_bdfr: float | None = None, max_bdfr: float | None = None,
+    sane: bool = True,
 ) -> DataFrame:
     """[L17 L18 J7 U7] term, weight, subset_df, base_df, label of the terms within inclusive bounds.
 
     u bounds hold for single words, b bounds for terms with a blank: on the log ratio (r), base document frequency (df),
     subset's (edf) and their quotient (dfr).  label is "query" for terms of the query, "new" for others, "missing" for the
     query's terms that are absent or filtered out (without numbers).  which selects "new", "query", "missing" or "all"
-    (the first two).
+    (the first two).  sane drops terms that don't look like words.
     """
     two = F.instr("term", " ") > 0
     quotient = F.try_divide(F.col("base_df").cast("double"), F.col("subset_df"))
-    kept = sane_terms()
+    kept = sane_terms() if sane else F.lit(True)
     for value, u_lo, u_hi, b_lo, b_hi in (("weight", min_ur, max_ur, min_br, max_br), ("base_df", min_udf, max_udf, min_bdf, max_bdf), ("subset_df", min_uedf, max_uedf, min_bedf, max_bedf), (quotient, min_udfr, max_udfr, min_bdfr, max_bdfr)):
         v = F.col(value) if isinstance(value, str) else value
         for single, pair, above in ((u_lo, b_lo, True), (u_hi, b_hi, False)):

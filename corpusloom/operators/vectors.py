@@ -6,7 +6,7 @@ Tables: vectors(idx, word, vec), similarity edges(src, dst, sim) by idx, cluster
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..functions.text import bind
+from ..session import shared_folder
 
 BLOCK = 2048
 
@@ -145,14 +146,7 @@ def attraction_edges(edges: DataFrame, cluster: DataFrame, added: DataFrame, met
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        base = context.getConf().get("spark.checkpoint.dir")
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="loom-checkpoint-")
-        context.setCheckpointDir(base)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -340,8 +334,3 @@ def sparse_dot(a: DataFrame, b: DataFrame) -> DataFrame:
     if a.count() <= BROADCAST_NUMBERS:
         x, y = F.broadcast(x), y.repartition("b_word")
     return x.join(y, "dim").groupBy("a_word", "b_word").agg(F.sum(F.col("a_val") * F.col("b_val")).alias("dot"))
-
-
-def read_batches(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Concatenates the frames of a mapInPandas input."""
-    return pd.concat(list(frames))

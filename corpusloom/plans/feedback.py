@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search, stats
+from ..session import shared_folder
 
 
 def feedback(postings: DataFrame, query: DataFrame, key: str, hits: int = 100, terms: int = 20, rounds: int = 1, least_ratio: float = 0.0) -> DataFrame:
@@ -14,7 +15,8 @@ def feedback(postings: DataFrame, query: DataFrame, key: str, hits: int = 100, t
     Each round takes the best documents, weighs their terms by log TF ratio against the corpus, keeps the query's terms and
     the best new ones, and searches with these.
     """
-    postings = postings.cache()  # read by every round
+    shared_folder(postings.sparkSession)
+    postings = postings.checkpoint()  # read by every round
     base = postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
     asked = search.query_table(query)
     for _ in range(rounds):

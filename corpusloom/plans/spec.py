@@ -138,23 +138,32 @@ def _tokens(field: str, new_field: str = "lemmas") -> Step:
 
 
 @step("minhash")
-def _minhash(fields: Sequence[str], key: str, shingles: int = 5, num_perm: int = 128, keep_short: bool = False) -> Step:
-    """[X12] key and minhash over the union of the fields' shingles; strings give character shingles."""
+def _minhash(fields: Sequence[str], key: str, shingles: int = 5, num_perm: int = 128, keep_short: bool = False, keep: Sequence[str] = ()) -> Step:
+    """[X12] key, minhash over the union of the fields' shingles and the fields to keep; strings give character shingles."""
 
     def run(df: DataFrame) -> DataFrame:
         lists = [X.shingles(X.characters(df[f]) if df.schema[f].dataType.typeName() == "string" else df[f], shingles) for f in fields if f in df.columns]
-        return dedup.signatures(df, key, F.array_distinct(F.concat(*lists)), num_perm, keep_short)
+        return dedup.signatures(df, key, F.array_distinct(F.concat(*lists)), num_perm, keep_short, keep)
 
     return run
 
 
 @step("lsh", "collector")
-def _lsh(id_field: str, threshold: float, num_perm: int = 128) -> Step:
-    """[A9] ids that survive near-duplicate elimination."""
+def _lsh(id_field: str, threshold: float, num_perm: int = 128, out_field: str | None = None) -> Step:
+    """[A9] out_field (id_field by default) of the documents that survive near-duplicate elimination.
+
+    Documents come in the order of out_field, record ids ("<file>-<line>") by file and line; one whose id came before goes,
+    too.
+    """
 
     def run(df: DataFrame) -> DataFrame:
         bands, rows = dedup.bands_for(threshold, num_perm)
-        return dedup.survivors(dedup.buckets(df, id_field, bands, rows), id_field)
+        out = F.col(out_field or id_field)
+        text = out.cast("string")
+        order = F.struct(F.regexp_replace(text, r"-\d+$", "").alias("file"), F.regexp_extract(text, r"-(\d+)$", 1).try_cast("long").alias("line"), out.alias("out"))
+        df = df.withColumn("_order", order)
+        kept = dedup.survivors(dedup.buckets(df, "_order", bands, rows), "_order", df.select("_order", id_field) if out_field else None)
+        return kept.select(F.col("_order.out").alias(out_field or id_field))
 
     return run
 
@@ -213,9 +222,20 @@ def _connected(own: Step, kind: str, connection: str | None, name: str, argument
         return lambda df: df.select(F.expr(arguments["expression"]).alias("value")).where("value")
     if kind == "map" and name == "get_field":  # as a filter it keeps the row where the value is full
         return lambda df: df.where(X.truthy_field(df, arguments["field"]))
-    if kind == "map" and name == "new_field":
-        return lambda df: df.where(X.truthy_field(own(df), arguments["name"])) if arguments["name"] in df.columns else basic.filter_document(own(df), F.col(arguments["name"]).isNotNull()).drop(arguments["name"])
-    raise ValueError(f"{name} has no {connection} connection")
+    if kind == "map" and name == "retain_fields":
+        return lambda df: df.dropna(how="all", subset=[c for c in df.columns if c in set(arguments["fields"])])
+    if kind == "filter":
+        return lambda df: _marked(df, own).where("value").select("value")
+    return lambda df: _marked(df, own).where("value").select(*df.columns)
+
+
+def _marked(df: DataFrame, own: Step) -> DataFrame:
+    """df with value: whether the step leaves anything of the row.  Steps drop, keep or change rows, never repeat them."""
+    rows = df.withColumn("_row", F.struct(*df.columns))
+    left = own(rows)
+    if "_row" not in left.columns:  # the step keeps its own columns only; a row it lets through is not empty
+        raise ValueError("a step that drops columns has no other connection")
+    return left.select("_row.*", F.lit(True).alias("value"))
 
 
 def read(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:

@@ -26,6 +26,23 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, made the checkpoint folder too.
+
+    Where the setting is absent, a local master (tests, notebooks) gets a temporary folder; on a cluster, whose executors
+    would each write to a disk of their own, it is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="loom-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join handling and UTC; further settings by keyword, dots as double underscores."""
     builder = SparkSession.builder.appName(app)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator, Sequence
-from pathlib import PurePosixPath
 
 import numpy as np
 import pandas as pd
@@ -89,11 +88,11 @@ def text_vectors(spark: SparkSession, paths: Paths, dimension: int = 0, keep_wor
 
 
 def npz_vectors(spark: SparkSession, paths: Paths) -> DataFrame:
-    """[S9] idx, word, vec of .npz files with words and dense vectors, or the parts of a CSR matrix (data, indices, indptr, shape)."""
+    """[S9] idx (by file in order of paths, then row), word, vec of .npz files with words and dense vectors, or the parts of a CSR matrix (data, indices, indptr, shape)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
+            for content, number in zip(batch["content"], batch["file"], strict=True):
                 file = np.load(io.BytesIO(content), allow_pickle=False)
                 words = [str(w) for w in file["words"]]
                 if "vectors" in file:
@@ -105,9 +104,11 @@ def npz_vectors(spark: SparkSession, paths: Paths) -> DataFrame:
                         row[file["indices"][a:b]] = file["data"][a:b]
                         rows.append(row.tolist())
                 for at in range(0, len(words), 1000):
-                    yield pd.DataFrame({"idx": np.arange(at, min(at + 1000, len(words))), "word": words[at : at + 1000], "vec": rows[at : at + 1000]})
+                    yield pd.DataFrame({"idx": (number << 32) + np.arange(at, min(at + 1000, len(words))), "word": words[at : at + 1000], "vec": rows[at : at + 1000]})
 
-    return spark.read.format("binaryFile").load(_list(paths)).select("content").mapInPandas(run, schemas.DENSE_VECTORS)
+    files = spark.read.format("binaryFile").load(_list(paths))
+    order = files.select("path").distinct().withColumn("file", (F.row_number().over(W.orderBy("path")) - 1).cast("long"))  # a row a file
+    return files.join(F.broadcast(order), "path").select("content", "file").mapInPandas(run, schemas.DENSE_VECTORS)
 
 
 def word_set(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -142,6 +143,7 @@ def dictionary(spark: SparkSession, path: Paths, header: bool = False) -> DataFr
 def term_stats_json(spark: SparkSession, paths: Paths) -> DataFrame:
     """[S15 Q9 Q10] field, term, tf, df of nested JSON: {field: {TF, DF}}, or {TF, DF} under the field "all", also in a list."""
     rows = spark.read.text(_list(paths), wholetext=True).select(F.regexp_replace("value", r"^\s*\[|\]\s*$", "").alias("value"))
+    rows = rows.select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))  # an object a line, where there are several
     flat = F.when(F.get_json_object("value", "$.TF").isNotNull(), F.concat(F.lit('{"all":'), F.col("value"), F.lit("}"))).otherwise(F.col("value"))
     fields = rows.select(F.explode(F.from_json(flat, schemas.STATS_JSON)).alias("field", "s"))
     terms = fields.select("field", F.explode("s.TF").alias("term", "tf"), F.col("s.DF").alias("dfs"))
@@ -152,7 +154,3 @@ def gold_list(spark: SparkSession, path: Paths, vectors: DataFrame | None = None
     """[S16 J15] word, value of a TSV, of words that have a vector."""
     rows = spark.read.csv(_list(path), sep="\t", schema="word string, value int", quote="")
     return rows if vectors is None else rows.join(vectors.select("word").distinct(), "word", "left_semi")
-
-
-def file_name(path: str) -> str:
-    return PurePosixPath(path).name

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import codecs
-import gzip
-import html as entities
-import io
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -47,11 +44,6 @@ def archive_stem(path: str) -> str:
     return m[1]
 
 
-def inflated(data: bytes) -> bytes:
-    """The content, with all members, of gzip data; other data as it is."""
-    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
-
-
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """[S17] header fields (lower-case names) and block of each record; ends at what is not a record."""
     at = 0
@@ -126,37 +118,66 @@ def _unchunked(body: bytes) -> bytes | None:
         at = end + 4 + size
 
 
+_BETWEEN = b"\r\n\r\nWARC/"
+
+
+def _record_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
+    """Path and bytes of each record: a piece that is shorter than its header says goes on in the file's next one."""
+    path, held = None, b""
+    for batch in batches:
+        for own, piece in zip(batch["path"], batch["piece"], strict=True):
+            whole = bytes(piece) if bytes(piece[:5]) == b"WARC/" else b"WARC/" + bytes(piece)
+            if held and own == path and _missing(held):
+                held += _BETWEEN + whole[5:]
+                continue
+            if held:
+                yield path, held
+            path, held = own, whole
+    if held:
+        yield path, held
+
+
+def _missing(record: bytes) -> bool:
+    end = record.find(b"\r\n\r\n")
+    stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", record[: max(end, 0)])
+    return bool(stated) and len(record) - end - 4 < int(stated[1])
+
+
 def warc_documents(spark: SparkSession, paths: str | list[str], extract: str = "boilerpipe", on_error: str = "drop") -> DataFrame:
     """[S17-S20 X27 X28] url, date, content of the responses with status 200 in .warc and .warc.gz files.
 
     Only records with a target URI and a date are taken.  content is null where the extractor fails.  A file that can't be
-    read gives no rows, or with on_error "fail" ends the job.
+    read gives no rows, or with on_error "fail" ends the job.  Files of any size are read record by record, plain ones in
+    parts: the text source cuts them where a record begins.
     """
     if extract not in EXTRACTORS:
         raise ValueError(f"no such extractor: {extract!r}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.warc*").load(paths)
+    source = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.warc*").option("lineSep", _BETWEEN.decode()).option("ignoreCorruptFiles", on_error != "fail")
+    pieces = source.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows: list[tuple[str, str, str | None]] = []
-                try:
-                    archive_stem(path)
-                    for head, block in records(inflated(content)):
-                        if head.get("warc-type") == "response" and head.get("warc-target-uri") and head.get("warc-date"):
-                            page = http_body(block)
-                            if page is not None:
-                                rows.append((head["warc-target-uri"], head["warc-date"], _extract(extract, page)))
-                        if len(rows) >= 200:
-                            yield pd.DataFrame(rows, columns=["url", "date", "content"])
-                            rows = []
-                except (OSError, EOFError, ValueError, zlib.error):
-                    if on_error == "fail":
-                        raise
-                if rows:
-                    yield pd.DataFrame(rows, columns=["url", "date", "content"])
-
-    return files.select("path", "content").mapInPandas(run, RAW_DOCUMENT)
+        rows: list[tuple[str, str, str | None]] = []
+        for path, record in _record_pieces(batches):
+            try:
+                archive_stem(path)
+                head, block = next(records(record), ({}, b""))
+                if not head and on_error == "fail":
+                    raise ValueError(f"not a WARC record in {path}")
+            except ValueError:
+                if on_error == "fail":
+                    raise
+                continue
+            if head.get("warc-type", "").lower() == "response" and head.get("warc-target-uri") and head.get("warc-date"):
+                page = http_body(block)
+                if page is not None:
+                    rows.append((head["warc-target-uri"], head["warc-date"], _extract(extract, page)))
+            if len(rows) >= 200:
+                yield pd.DataFrame(rows, columns=["url", "date", "content"])
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["url", "date", "content"])
+
+    return pieces.mapInPandas(run, RAW_DOCUMENT)
 
 
 # --- main text ----------------------------------------------------------------------------------------------------------
@@ -252,6 +273,12 @@ def paragraphs(page: str, least: int = 30, much: int = 70, density: float = 0.2)
     return "\n".join(b[0] for b, ok in zip(blocks, keep, strict=True) if ok)
 
 
+@extractor("html")
+def whole_page(page: str) -> str:
+    """The page as it is."""
+    return page
+
+
 def _extract(name: str, page: str) -> str | None:
     try:
         return EXTRACTORS[name](page)
@@ -269,7 +296,3 @@ def main_text(page: Column, extract: str = "boilerpipe") -> Column:
         return pages.map(lambda p: None if p is None else _extract(extract, p)).astype(object)
 
     return run(page)
-
-
-def unescaped(text: str) -> str:
-    return entities.unescape(text)

@@ -59,7 +59,7 @@ def conll_text(sentences: Column) -> Column:
 
 def conll_files(df: DataFrame, field: str, path: str, mode: str = "errorifexists") -> None:
     """[K7]"""
-    df.select(F.regexp_replace(conll_text(F.col(field)), r"\n$", "")).write.mode(mode).text(path)
+    df.select(F.regexp_replace(conll_text(F.col(field)), r"\n\z", "")).write.mode(mode).text(path)
 
 
 def term_stats(stats: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -67,7 +67,8 @@ def term_stats(stats: DataFrame, path: str, mode: str = "errorifexists") -> None
     stats.write.mode(mode).parquet(path)
 
 
-def term_stats_json(stats: DataFrame) -> DataFrame:
-    """[K9] value: the nested JSON {field: {TF, DF}}, for export of filtered vocabularies."""
-    maps = stats.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("TF"), F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("DF"))
-    return maps.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", F.struct("TF", "DF"))))).alias("value"))
+def term_stats_json(stats: DataFrame, parts: int = 1) -> DataFrame:
+    """[K9] value: the nested JSON {field: {TF, DF}}, as so many objects, which the reader adds up: no row need hold a whole
+    vocabulary."""
+    maps = stats.groupBy(F.pmod(F.xxhash64("term"), F.lit(parts)).alias("part"), "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("TF"), F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("DF"))
+    return maps.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", F.struct("TF", "DF"))))).alias("value")).select("value")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as X
 from ..plans import spec
 
 
@@ -31,8 +32,8 @@ def steps(stream: DataFrame, configs: Sequence[dict[str, Any]]) -> DataFrame:
 
 def term_frequencies(stream: DataFrame, tokens: Column, field: str) -> DataFrame:
     """[A4] field, term, tf, df in update mode; a document counts once for df, so no state by document is kept."""
-    terms = stream.select(F.array_distinct(tokens).alias("d"), tokens.alias("t")).select(F.explode(F.transform("d", lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).cast("long").alias("n")))).alias("e"))
-    return terms.groupBy("e.term").agg(F.sum("e.n").alias("tf"), F.count("*").alias("df")).select(F.lit(field).alias("field"), "term", "tf", "df")
+    terms = stream.select(F.explode(X.counts(tokens)).alias("term", "n"))
+    return terms.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).select(F.lit(field).alias("field"), "term", "tf", "df")
 
 
 def windowed_counts(stream: DataFrame, time: str, late: str, window: str, by: Sequence[str] = ()) -> DataFrame:

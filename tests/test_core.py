@@ -334,3 +334,104 @@ def test_streams(spark, tmp_path):
     assert rows(spark.table("terms")) == [("f", "a", 2, 1), ("f", "b", 1, 1)]
     with pytest.raises(ValueError):
         streams.steps(stream, [{"step": "doc_count"}])
+
+
+def test_names_and_numbers(spark):
+    assert one(spark, X.base_name(F.col("p")), p=("a/b.c/x.json.gz", "string")) == "x" and one(spark, X.set_name(F.col("p")), p=("a/list.txt", "string")) == "list"
+    assert one(spark, X.replace_extension(F.col("p"), "tsv"), p=("a/x.json.gz", "string")) == "a/x.tsv.gz" and one(spark, X.replace_extension(F.col("p"), "tsv"), p=("x.doc", "string")) == "x.doc"
+    df = spark.createDataFrame([(["a", "b"],)], "v array<string>")
+    assert tuple(df.select(*X.item_getter(F.col("v"), 1, 5, 0, defaults=["x", "y"])).first()) == ("b", "y", "a")
+
+
+def test_record_ids_of_survivors(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows_ = [(f"x.json-{i}", f"u{i % 11}", words if i % 2 else [f"v{i}x{j}" for j in range(30)]) for i in range(12)]
+    df = spark.createDataFrame(rows_, "record_id string, url string, words array<string>")
+    run = spec.build([{"step": "minhash", "fields": ["words"], "key": "record_id", "keep": ["url"]}, {"step": "lsh", "id_field": "url", "threshold": 0.85, "out_field": "record_id"}])
+    # of the copies the first line stays (1, not 11 or 3); line 11 has line 0's url and is a copy anyway
+    assert {r["record_id"] for r in run(df).collect()} == {"x.json-1", *(f"x.json-{i}" for i in range(0, 12, 2))}
+
+
+def test_any_step_can_be_rewired(spark):
+    df = spark.createDataFrame([("u", ["a"]), ("", []), (None, ["b"])], "url string, lemmas array<string>")
+    values = spec.build([{"step": "filter_empty", "fields": ["url"], "connection": "map"}])(df)
+    assert [tuple(r) for r in values.collect()] == [(True,)]
+    kept = spec.build([{"step": "counts", "fields": ["lemmas"], "connection": "filter"}])(df)
+    assert kept.columns == df.columns and kept.count() == 3
+    assert spec.build([{"step": "retain_fields", "fields": ["url"], "connection": "filter"}])(df).count() == 2
+    with pytest.raises(ValueError):
+        spec.build([{"step": "minhash", "fields": ["lemmas"], "key": "url", "connection": "filter"}])(df)
+
+
+def test_warc_records_that_hold_a_separator(spark, tmp_path):
+    inner = b"<p>a</p>\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n<p>b</p>"
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + inner
+    data = record("RESPONSE", "http://a/", block) + record("response", "http://b/", b"HTTP/1.1 200 OK\r\n\r\nx") + record("request", "http://c/", block)
+    (tmp_path / "p.warc").write_bytes(data)
+    (tmp_path / "q.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (data, record("response", "http://d/", b"HTTP/1.1 200 OK\r\n\r\n\xff"))))
+    made = rows(webarchive.warc_documents(spark, str(tmp_path), "html").select("url", "content"))
+    assert made == sorted([("http://a/", inner.decode()), ("http://b/", "x")] * 2 + [("http://d/", "\ufffd")])
+
+
+def test_files_of_vectors_and_statistics(spark, tmp_path):
+    for name, word in (("a", "x"), ("b", "y")):
+        np.savez(tmp_path / f"{name}.npz", words=np.array([word]), vectors=np.eye(1))
+    made = readers.npz_vectors(spark, str(tmp_path)).collect()
+    assert len({r["idx"] for r in made}) == 2
+    writers.vectors_to_npz(spark.createDataFrame([(0, "a", [1.0, 2.0])], "idx long, word string, vec array<double>"), str(tmp_path / "out.npz"))
+    assert readers.npz_vectors(spark, str(tmp_path / "out.npz")).first()["vec"] == [1.0, 2.0]
+    own = spark.createDataFrame([("f", f"t{i}", 2.0, 1) for i in range(40)], "field string, term string, tf double, df bigint")
+    writers.term_stats_json(own, 7).write.text(str(tmp_path / "stats"))
+    assert rows(readers.term_stats_json(spark, str(tmp_path / "stats"))) == rows(own)
+
+
+def test_windowed_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("".join(json.dumps({"url": u, "at": f"2024-01-01T00:0{m}:00Z"}) + "\n" for u, m in (("u", 0), ("u", 1), ("v", 7))))
+    from pyspark.sql.types import StructType
+
+    stream = lambda: streams.documents(spark, str(tmp_path / "in"), StructType.fromDDL("url string, at timestamp"))
+    streams.to_memory(streams.windowed_counts(stream(), "at", "1 hour", "5 minutes"), "windows", "complete").awaitTermination()
+    assert sorted(r["n"] for r in spark.table("windows").collect()) == [1, 2]
+    streams.to_parquet(streams.first_by_url(stream(), "at", "1 hour"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert sorted(r["url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u", "v"]
+
+
+def test_command_line(spark, tmp_path):
+    from corpusloom import cli
+
+    at = lambda name: str(tmp_path / name)
+    lines = lambda name: sorted(r[0] for r in spark.read.text(at(name)).collect())
+    (tmp_path / "vec").write_text("a 1 0\nb 0.9 0.1\nc 0 1\nd 0.1 0.9\n")
+    (tmp_path / "lists").write_text("p\ta\np\tb\nq\tc\nq\td\nq\ta\n")
+    (tmp_path / "words").write_text("a\nnew 0 1\n")
+    (tmp_path / "one").write_text("a\n")
+    (tmp_path / "gold").write_text("a\t1\nc\t-1\n")
+    (tmp_path / "dict").write_text("headword\tdefinition\nblaze\tbig hot fire\nember\thot bit\n")
+    (tmp_path / "hot").write_text("ember\n")
+    (tmp_path / "stop").write_text("bit\n")
+    (tmp_path / "stats").write_text(json.dumps({"f": {"TF": {"fire": 4, "calm": 3}, "DF": {"fire": 3, "calm": 2}}}))
+    (tmp_path / "sub").write_text(json.dumps({"f": {"TF": {"fire": 3}, "DF": {"fire": 2}}}))
+    (tmp_path / "terms").write_text("fire\t3.0\t2\t3\nx1\t2.0\t1\t1\n")
+    (tmp_path / "query").write_text("fire\nquake\n")
+    (tmp_path / "docs.json").write_text('{"url": "u", "n": 1}\n')
+    for arguments in (
+        ["knn", at("vec"), at("words"), at("knn"), "-k", "2", "-n"], ["emscan", at("vec"), at("one"), at("emscan"), "first", "-g", at("graph")],
+        ["embedding-bounds", at("vec"), at("lists"), at("bounds"), "--confusion", at("confusion"), "--write-real", at("real"), "--sets", at("sets")],
+        ["topic-stats", at("vec"), at("lists"), at("topics"), "--words", at("topic_words")], ["densifier", at("vec"), at("gold"), at("dense")], ["mds", at("vec"), at("mds")],
+        ["definition-similarity", at("dict"), at("hot"), at("similar"), "-v", "--stop-words", at("stop")], ["def-to-hw", at("dict"), at("hot"), at("headwords")],
+        ["weight-words", at("stats"), at("idf"), "-n", "4"], ["weight-words", at("sub"), at("ratio"), "-b", at("stats"), "-p"], ["weight-query", at("query"), at("terms"), at("weighted")],
+        ["select-terms", at("terms"), at("query"), at("selected"), "--min-ur", "1"], ["select-terms", at("terms"), at("query"), at("every"), "--min-ur", "1", "--unchecked"],
+        ["filter-tfdf", at("stats"), at("filtered"), "-f", "f", "-u", "3"], ["join-tfdf", at("joined"), at("stats"), at("sub")], ["json-to-tsv", at("docs.json"), at("tsv"), "-f", "url", "-f", "absent"],
+        ["run", "wc", "-i", at("docs.json"), "-o", at("run")],
+    ):
+        cli.main(arguments)
+    assert [x.split("\t")[:2] for x in lines("knn")] == [["a", "a"], ["a", "b"], ["new", "c"], ["new", "d"]]
+    assert lines("emscan") == ["a", "b"] and "<graphml" in (tmp_path / "graph").read_text()
+    assert len(lines("bounds")) == 2 and "p\tp\t2" in lines("confusion") and "q\td" in lines("real") and "p-q\ta" in lines("sets") and "p-unique\tb" in lines("sets")
+    assert lines("topics") and any("[" in x for x in lines("topic_words")) and len(lines("dense")) == len(lines("mds")) == 4
+    assert any(x.startswith("ember\tblaze\t") and x.endswith("hot") for x in lines("similar")) and lines("headwords") == []
+    assert len(lines("idf")) == 2 and lines("ratio")[0].startswith("fire\t") and lines("weighted") == ["fire\t3.0"]
+    assert [x.split("\t")[0] for x in lines("selected")] == ["fire"] and [x.split("\t")[0] for x in lines("every")] == ["fire", "x1"]
+    assert rows(spark.read.parquet(at("filtered")).select("term")) == [("fire",)] and rows(spark.read.parquet(at("joined")).where("term = 'fire'").select("tf")) == [(7.0,)]
+    assert lines("tsv") == ["u\t"]
