@@ -3,7 +3,9 @@
 Balanced k-means on a bounded sample gives centroids; a graph of each centroid's neighbours, held in memory, is searched to
 find those near a vector.  Each vector goes to the list of its nearest centroid and, if it lies near a boundary, to further
 ones about as near that aren't occluded by one already chosen.  A query reads the lists whose centroids are within a factor
-of its nearest one's distance.  Equal vectors share one entry that keeps the few smallest ids a result can need.
+of its nearest one's distance, LEAST_PROBES at any rate.  Equal vectors share one entry that keeps the few smallest ids a
+result can need.  Only vectors of one dimension are compared: each that is common has an index of its own, in the others
+all vectors are compared.  Queries that find too few candidates read every list.
 """
 
 from __future__ import annotations
@@ -20,13 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import unit_hash, written
 
-SAMPLE = 40_000  # vectors the centroids are fitted on
+SAMPLE = 40_000  # vectors the centroids are fitted on, or ten a centroid where that is more
 LIST_SIZE = 160  # vectors a centroid is made for
-MAX_CENTROIDS = 4096
+CENTROIDS = 4096  # up to which their number grows with that of the vectors; then with its root
+INDEXED = 1024  # distinct vectors of a dimension from which up it has an index
 DEGREE, BEAM = 24, 96  # of the centroid graph and of its search
 REPLICAS, BOUNDARY = 6, 1.15  # lists a vector may be in; distance against the nearest centroid's
-PROBES, RATIO = 64, 1.35  # lists a query reads at most; distance against the nearest centroid's
-PART = 4096  # vectors of one list that one task's group holds, about
+LEAST_PROBES, PROBES, RATIO = 6, 64, 1.35  # lists a query reads at least, at most (or a 32nd of all); distance against the nearest centroid's
+PART, SHARE = 4096, 1024  # vectors of one list, and queries, that one task's group holds, about
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -107,6 +110,23 @@ class CentroidGraph:
         return np.take_along_axis(ids, order, axis=1), np.sqrt(np.maximum(np.take_along_axis(dist, order, axis=1), 0))
 
 
+def centroid_count(vectors: int) -> int:
+    """About vectors / LIST_SIZE, but beyond CENTROIDS twice the root of vectors."""
+    return max(1, min(vectors // LIST_SIZE, max(CENTROIDS, 2 * int(vectors**0.5))))
+
+
+def _unlike(centroids: np.ndarray, ids: np.ndarray, dist: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Of each row's near centroids, nearest first: those that no chosen one is nearer to than the row's vector is."""
+    own = centroids[ids]
+    apart = 2 - 2 * np.einsum("rad,rbd->rab", own, own)
+    chosen = np.zeros(near.shape, bool)
+    chosen[:, 0] = True
+    for c in range(1, near.shape[1]):
+        occluded = (chosen & (apart[:, :, c] <= dist[:, c, None] ** 2)).any(axis=1)
+        chosen[:, c] = near[:, c] & ~occluded & (chosen.sum(axis=1) < REPLICAS)
+    return chosen
+
+
 def _lists(graph_of, queries: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = graph_of()
@@ -115,17 +135,12 @@ def _lists(graph_of, queries: bool):
                 part = batch.slice(a, 512)
                 column = part.column(1)
                 x = unit(column.values.to_numpy()[column.offsets[0].as_py() : column.offsets[-1].as_py()].astype(np.float64).reshape(len(column), -1))
-                ids, dist = graph.search(x, PROBES if queries else REPLICAS * 3)
-                factor = RATIO if queries else BOUNDARY
-                near = np.isfinite(dist) & (dist <= factor * dist[:, :1] + 1e-12)
-                if not queries:
-                    for r in range(len(x)):  # a further list only if no chosen centroid is nearer to it than the vector is
-                        chosen = [0]
-                        for c in np.flatnonzero(near[r])[1:]:
-                            if len(chosen) < REPLICAS and (2 - 2 * graph.centroids[ids[r, chosen]] @ graph.centroids[ids[r, c]] > dist[r, c] ** 2).all():
-                                chosen.append(c)
-                        near[r] = False
-                        near[r, chosen] = True
+                ids, dist = graph.search(x, max(PROBES, len(graph.centroids) // 32) if queries else REPLICAS * 3)
+                near = np.isfinite(dist) & (dist <= (RATIO if queries else BOUNDARY) * dist[:, :1] + 1e-12)
+                if queries:
+                    near[:, :LEAST_PROBES] = np.isfinite(dist[:, :LEAST_PROBES])
+                else:
+                    near = _unlike(graph.centroids, ids, dist, near)
                 rows, places = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(ids[rows, places])], names=["cls", "embedding", "list"])
 
@@ -166,46 +181,74 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, vec_id: str = "vec_id",
     """query_id, rank, vec_id, score: the k nearest rows found by cosine for each row whose id is divisible by every.
 
     A row is no candidate for its own id.  Nearest first, ties to the smaller id; fewer rows where there are fewer.  Null,
-    zero and empty vectors, those with null or non-finite components, rows with a null id and vectors of another dimension
-    than the commonest take no part.  Rows that repeat id and vector count once.  The index covers all rows; only the
-    centroids are fitted on a sample of at most about SAMPLE vectors.
+    zero and empty vectors, those with null or non-finite components and rows with a null id take no part; vectors of other
+    dimensions than the query's are no candidates.  Rows that repeat id and vector count once.  Further columns are left
+    out, so none can clash; an empty table gives an empty one.  The index covers all rows; only the centroids are fitted on
+    a sample, of about SAMPLE vectors or ten a centroid.
     """
     spark = vectors.sparkSession
     rows = vectors.select(vectors[vec_id].cast("long").alias("vec_id"), vectors[embedding].alias("embedding"))
     finite = F.forall(F.transform("embedding", lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0").where(finite).where(F.exists("embedding", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == sizes[0]["n"])
     keyed = rows.withColumn("cls", F.xxhash64("embedding"))
     order = W.partitionBy("cls", "embedding").orderBy("vec_id")
     few = written(keyed.distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1), "smallest_ids")
-    entries = written(few.where("nth = 1").select(F.col("vec_id").alias("cls"), "embedding", F.col("cls").alias("hash")), "distinct_vectors")
+    entries = written(few.where("nth = 1").select(F.col("vec_id").alias("cls"), "embedding", F.col("cls").alias("hash"), F.size("embedding").alias("size")), "distinct_vectors")
     ids = few.select("vec_id", F.col("cls").alias("hash"), "embedding").join(entries, ["hash", "embedding"]).select("cls", "vec_id")
-    count = entries.count()
-    sample = entries.where(unit_hash("cls") < SAMPLE / count).select("embedding").limit(2 * SAMPLE).toPandas()["embedding"] if count > 1 else []
-    if not len(sample):
-        sample = entries.select("embedding").limit(1).toPandas()["embedding"]
-    x = unit(np.stack(sample.to_numpy()).astype(np.float64))
-    graph = CentroidGraph.build(balanced_centroids(x, min(len(x), MAX_CENTROIDS, max(1, count // LIST_SIZE))))
-    shared = spark.sparkContext.broadcast(graph)
-    kind = entries.schema["embedding"].dataType.simpleString()
-    postings = written(entries.select("cls", "embedding").mapInArrow(_lists(lambda: shared.value, False), f"cls long, embedding {kind}, list long"), "postings")
     queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    asked = written(queries.withColumn("hash", F.xxhash64("embedding")).join(entries, ["hash", "embedding"]).select("query_id", "cls", "embedding"), "asked")
-    reads = asked.select("cls", "embedding").distinct().mapInArrow(_lists(lambda: shared.value, True), f"cls long, embedding {kind}, list long")
-    parts = written(postings.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts")), "parts")
-    postings = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))).drop("parts")  # at most MAX_CENTROIDS rows
-    parts = parts.select(F.col("list").alias("list"), F.col("parts").alias("parts"))
-    reads = reads.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    found = postings.groupBy("list", "part").cogroup(reads.groupBy("list", "part")).applyInPandas(_scan_lists(k + 1), "query long, cls long, score double").distinct()
+    asked = written(queries.withColumn("hash", F.xxhash64("embedding")).join(entries, ["hash", "embedding"]).select("query_id", "cls", "embedding", "size"), "asked")
+    common = {r["size"]: r["n"] for r in entries.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") >= INDEXED).collect()}
+    kind = f"cls long, embedding {entries.schema['embedding'].dataType.simpleString()}, list long"
+    listed = lambda df: df.select("cls", "embedding", (-F.col("size")).cast("long").alias("list"))  # noqa: E731  a rare dimension is one list
+    members, reads = listed(entries.where(~F.col("size").isin(list(common)))), listed(asked.where(~F.col("size").isin(list(common)))).distinct()
+    for number, (size, count) in enumerate(sorted(common.items())):
+        lists = centroid_count(count)
+        share = max(SAMPLE, 10 * lists) / count
+        sample = entries.where(F.col("size") == size).where(unit_hash("cls") < share).select("embedding").toPandas()["embedding"]
+        x = unit(np.stack(sample.to_numpy()).astype(np.float64))
+        graph = CentroidGraph.build(balanced_centroids(x, min(len(x), lists)))
+        shared = spark.sparkContext.broadcast(graph)
+        put = lambda df, is_query, own=shared, n=number: df.mapInArrow(_lists(lambda: own.value, is_query), kind).withColumn("list", F.col("list") + (n << 32))
+        own = written(put(entries.where(F.col("size") == size).select("cls", "embedding"), False), "postings")
+        members = members.union(own)
+        asks = written(put(asked.where(F.col("size") == size).select("cls", "embedding").distinct(), True), "reads")
+        reads = reads.union(asks)
+        shared.destroy()
+        del sample, x, graph
+    found = written(_scanned(members, reads, k), "found")
     best = W.partitionBy("query").orderBy(F.desc("score"), "cls")
-    found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
-    found = found.join(ids, "cls").select("query", "vec_id", "score")
-    within = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1).drop("nth")
-    out = asked.select("query_id", F.col("cls").alias("query")).join(found, "query").where("query_id <> vec_id")
+
+    def named(found: DataFrame) -> DataFrame:
+        """Of each query's vector: its nearest ids, from the nearest entries."""
+        near = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth").join(ids, "cls").select("query", "vec_id", "score")
+        within = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return near.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1).drop("nth")
+
+    near = named(found)
+    short = asked.select("cls", "embedding", "size").distinct().join(near.groupBy(F.col("query").alias("cls")).agg(F.count("*").alias("n")), "cls", "left").where(F.coalesce("n", F.lit(0)) <= k).drop("n")
+    short = written(short.where(F.col("size").isin(list(common))).select("cls", "embedding", "size"), "short")
+    if not short.isEmpty():  # these read all vectors of their dimension
+        every_list = listed(entries.join(short.select("size").distinct(), "size", "left_semi").select("cls", "embedding", "size"))
+        more = _scanned(every_list, listed(short), k)
+        near = named(found.join(short.select(F.col("cls").alias("query")), "query", "left_anti").union(more.select("query", "cls", "score")))
+    out = asked.select("query_id", F.col("cls").alias("query")).join(near, "query").where("query_id <> vec_id")
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _scanned(members: DataFrame, reads: DataFrame, k: int) -> DataFrame:
+    """query, cls, score: of each query the nearest members of the lists it reads.
+
+    Lists are split in parts, and the queries of a list in shares, so that no group holds more than about PART vectors and
+    SHARE queries.
+    """
+    parts = members.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
+    shares = reads.groupBy("list").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("shares"))
+    cut = written(parts.join(shares, "list"), "list_parts")
+    cut = F.broadcast(cut) if cut.count() <= 1 << 20 else cut  # three numbers a list
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    own = members.join(cut, "list").withColumn("part", dealt("parts")).withColumn("share", spread("shares")).drop("parts", "shares")
+    asks = reads.join(cut, "list").withColumn("share", dealt("shares")).withColumn("part", spread("parts")).drop("parts", "shares")
+    keys = ["list", "part", "share"]
+    return own.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(_scan_lists(k + 1), "query long, cls long, score double").distinct()

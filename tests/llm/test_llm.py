@@ -487,13 +487,12 @@ def test_line_dedup_takes_whole_runs(spark, prose):
 # --- 9 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_nearest_recall(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall(spark, table, every=50):
     rows = table.toPandas()
     ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
-    made = ann.nearest(table, 50).toPandas()
+    made = ann.nearest(table, every).toPandas()
     hits = total = 0
-    for k in np.flatnonzero(ids % 50 == 0):
+    for k in np.flatnonzero(ids % every == 0):
         score = ann.cosine(x[k], x)
         best = [j for j in np.lexsort((ids, -score)) if j != k][:5]
         own = made[made.query_id == ids[k]].sort_values("rank")
@@ -502,15 +501,49 @@ def test_nearest_recall(spark):
         assert own["rank"].tolist() == [1, 2, 3, 4, 5]
         for r in own.itertuples():
             assert math.isclose(r.score, score[list(ids).index(r.vec_id)], rel_tol=1e-12)
-    assert hits / total >= 0.9
+    return hits / total
+
+
+def test_nearest_recall(spark):
+    assert recall(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")) >= 0.9
+
+
+def test_nearest_recall_with_many_lists_and_few(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 24))
+    rows = [(i, (centres[i % 60] + 0.6 * rng.normal(size=24)).tolist()) for i in range(6000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "LIST_SIZE", 15)  # 400 lists
+    assert recall(spark, table, 100) >= 0.9
+    monkeypatch.setattr(ann, "CENTROIDS", 8)  # beyond which lists grow with the vectors: 154 of 39
+    assert ann.centroid_count(6000) == 154 and recall(spark, table, 100) >= 0.9
+
+
+def test_nearest_by_dimension(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3 if i % 3 else 2).tolist()) for i in range(400)]
+    exact = lambda made: {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in made.collect()}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {}
+    for i, v in rows:
+        if i % 50 == 0:
+            near = sorted((-round(float(ann.cosine(np.array(v), np.array([x]))[0]), 12), j) for j, x in rows if j != i and len(x) == len(v))[:5]
+            want |= {(i, r): (j, round(-s, 9)) for r, (s, j) in enumerate(near, 1)}
+    assert exact(ann.nearest(table, 50)) == want  # all are compared
+    monkeypatch.setattr(ann, "INDEXED", 100)
+    monkeypatch.setattr(ann, "LIST_SIZE", 2)
+    monkeypatch.setattr(ann, "LEAST_PROBES", 1)
+    monkeypatch.setattr(ann, "RATIO", 0.0)  # the first list has too few: such queries read all
+    assert exact(ann.nearest(table, 50)) == want
 
 
 def test_nearest_on_awkward_rows(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (50, [1.0, 1.0]), *((k, [1.0, 0.0]) for k in range(60, 90))]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (50, [1.0, 1.0]), *((k, [1.0, 0.0]) for k in range(60, 90))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     made = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 6)) for r in ann.nearest(df, 50).collect()}
     assert [made[0, k][0] for k in range(1, 6)] == [1, 2, 60, 61, 62] and [made[50, k][0] for k in range(1, 6)] == [0, 1, 2, 3, 60]
+    assert made[100, 1] == (8, 1.0) and (100, 2) not in made
     assert ann.nearest(df.limit(0), 50).count() == 0 and ann.nearest(df.where("vec_id in (0, 3)"), 50).collect()[0]["vec_id"] == 3
     assert ann.nearest(df.where("vec_id = 0"), 50).count() == 0
 
