@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -11,24 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_folder, ship
 
 _made: dict[str, tuple[SparkSession, str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests, notebooks) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="loom-checkpoint-")
-        context.setCheckpointDir(base)
-    key = context.applicationId
+    """A folder of this application in the folder that driver and executors share."""
+    key = spark.sparkContext.applicationId
     if key not in _made:
-        _made[key] = (spark, f"{base.rstrip('/')}/loom-{key}-{uuid.uuid4().hex[:8]}")
+        _made[key] = (spark, f"{shared_folder(spark)}/loom-{key}-{uuid.uuid4().hex[:8]}")
     return _made[key][1]
 
 
@@ -64,6 +56,16 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more, which it does after a collection.
+
+    The last plan that was run is still referred to, so a plan without a shuffle takes its place first.
+    """
+    spark.range(1).collect()
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def crc_fold(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text (fold 0)."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus

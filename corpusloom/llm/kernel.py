@@ -134,6 +134,12 @@ def _trim_function():
 _trim = _trim_function()
 
 
+def give_back() -> None:
+    """Returns memory that nothing uses to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, one past the last, data, offsets) of runs of rows of about chunk_bytes, one row at least."""
     data, offsets = text_buffers(column)
@@ -144,8 +150,7 @@ def chunks(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         yield row, to, data, offsets[row : to + 1]
         row = to
     if len(data) > chunk_bytes:  # a worker serves task after task: what a batch needed goes back to the system
-        pa.default_memory_pool().release_unused()
-        _trim(0)
+        give_back()
 
 
 _MULTIPLIERS = [int(x) | 1 for x in np.random.default_rng(77).integers(1 << 62, 1 << 63, 16)]

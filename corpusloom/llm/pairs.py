@@ -8,6 +8,9 @@ pair needs are at hand.  The end of a text stands before and behind each documen
 Messages are arrays packed as compressed byte planes.  Shards follow from the texts' bytes, not from a setting, and nothing
 that is computed depends on their number but for rounding.
 
+Where texts are scored, frequent pairs are known too, and a filter of fixed size tells most pairs and words that the model
+lacks; the others travel, once a batch of texts, and sums by text come back.
+
 A model gives a word after another one  (n - taken) / (strength + total) + left * p(word),  left = (strength + all that is
 taken from the first word's pairs) / (strength + total), where n counts the pair, total the first word and p is that of the
 word alone.  A document's score is the sum of log10 p over its words, plus log10 of what the pair makes of it.
@@ -16,7 +19,7 @@ word alone.  A document's score is the sum of log10 p over its words, plus log10
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import written
+from .common import forget_shuffles, written
+from .packing import pack, unpack
 
 HOT_WORDS = 1 << 18  # words known everywhere, at most
-GATHERED = 12 << 20  # bytes of texts that travel together
+HOT_PAIRS = 1 << 20  # pairs of such words known everywhere, at most
+FILTER_BITS = 1 << 27  # of the filter for pairs and words that are in the model
+GATHERED = 6 << 20  # bytes of texts that travel together
 SHARD_BYTES = 24 << 20  # of texts, that a shard is made for
 END_HASH = np.uint64(0)
 _SPLIT = 64  # parts in which sums over many shards are added first
@@ -39,33 +45,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as byte planes, compressed; integers are not negative and take as few bytes as they need."""
-    head, body = [len(arrays)], []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        if a.dtype.kind != "f":
-            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-        head += [ord("f" if a.dtype.kind == "f" else "u"), a.itemsize, len(a)]
-        body.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    raw = np.array(head, "<i8").tobytes() + b"".join(body)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
-
-
-def unpack(packed: bytes) -> list[np.ndarray]:
-    """What pack() packed; integers as int64, those of eight bytes as uint64."""
-    raw = pa.Codec("zstd").decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), asbytes=True)
-    count = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 3 * count, 8).reshape(count, 3).tolist()
-    at, out = 8 + 24 * count, []
-    for kind, width, n in head:
-        plane = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
-        a = np.ascontiguousarray(plane.T).reshape(-1).view(f"<{chr(kind)}{width}")
-        out.append(a.astype(np.int64) if kind == ord("u") and width < 8 else a)
-        at += width * n
-    return out
-
-
 def uniform(keys: np.ndarray, *salts: int) -> np.ndarray:
     """Numbers in [0, 1) that follow from the keys and salts alone."""
     salt = 0
@@ -125,6 +104,11 @@ def shards_for(texts: DataFrame) -> int:
     return max(8, -(-int(total) // SHARD_BYTES))
 
 
+def dealt(df: DataFrame, shards: int, key: str = "shard"):
+    """df grouped by shard, a task a shard: so a task's share does not grow with the texts."""
+    return df.repartition(shards, key).groupBy(key)
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in kernel.gathered(batches, GATHERED):
         line, _ = batch_line(batch.column(0))
@@ -193,7 +177,9 @@ def _merge_words(rows: pd.DataFrame) -> pd.DataFrame:
 
 def count_words(texts: DataFrame, shards: int, spelled: bool) -> DataFrame:
     """A WORDS table, one row a shard, with the words' bytes where spelled is set."""
-    return written(texts.mapInArrow(_count_words(shards, spelled), WORDS).groupBy("shard").applyInPandas(_merge_words, WORDS), "words")
+    made = written(dealt(texts.mapInArrow(_count_words(shards, spelled), WORDS), shards).applyInPandas(_merge_words, WORDS), "words")
+    forget_shuffles(texts.sparkSession)
+    return made
 
 
 def collect_hot(table: DataFrame, column: str, hot: np.ndarray, kind: str = "<i8") -> np.ndarray:
@@ -232,7 +218,7 @@ def count_stats(table: DataFrame, column: str, at: int) -> dict[str, int]:
 
 PAIRS = "shard int, pairs binary"
 NOTES = "shard int, kind int, note binary"
-CUSTOMERS, RESTAURANTS, ASKED, STATE = range(4)  # kinds of notes; RESTAURANTS are by block, not by shard
+CUSTOMERS, RESTAURANTS, ASKED, STATE, FREQUENT = range(5)  # kinds of notes; RESTAURANTS are by block, not by shard
 
 
 def _shard_of(vocab: np.ndarray, code: np.ndarray, f: np.ndarray, s: np.ndarray, shards: int) -> np.ndarray:
@@ -261,6 +247,8 @@ def _count_pairs(shards: int, hot_of: Callable):
             for k, own in slices(shard[order]):
                 at = order[own]
                 rows.append((k, pack(*_coded(vocab, code, f[at], s[at], len(hot)), n[at])))
+            del line, place, key, n, f, s, vocab, code
+            kernel.give_back()
             yield _rows(rows, PAIRS)
 
     return run
@@ -286,7 +274,9 @@ def _merge_pairs(hot: int):
 
 def count_pairs(texts: DataFrame, shards: int, hot_of: Callable, hot: int) -> DataFrame:
     """A PAIRS table, one row a shard: cold words, codes of the first and second words in order, counts."""
-    return written(texts.mapInArrow(_count_pairs(shards, hot_of), PAIRS).groupBy("shard").applyInPandas(_merge_pairs(hot), PAIRS), "pairs")
+    made = written(dealt(texts.mapInArrow(_count_pairs(shards, hot_of), PAIRS), shards).applyInPandas(_merge_pairs(hot), PAIRS), "pairs")
+    forget_shuffles(texts.sparkSession)
+    return made
 
 
 def hashes_of(codes: np.ndarray, hot: np.ndarray, cold: np.ndarray) -> np.ndarray:
@@ -377,9 +367,9 @@ def _points_of(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [s for s, _ in (own, *notes)], "hashes": [pack(w) for _, w in (own, *notes)], "points": [pack(points[np.searchsorted(hashes, w)]) for _, w in (own, *notes)]})
 
 
-def points_for_pairs(model: DataFrame, notes: DataFrame) -> DataFrame:
+def points_for_pairs(model: DataFrame, notes: DataFrame, shards: int) -> DataFrame:
     """A POINTS table: each shard's own words, and the cold words of other shards that its pairs need."""
-    return model.select("shard", "hashes", "points").groupBy("shard").cogroup(notes.where(f"kind = {ASKED}").groupBy("shard")).applyInPandas(_points_of, POINTS)
+    return dealt(model.select("shard", "hashes", "points"), shards).cogroup(dealt(notes.where(f"kind = {ASKED}"), shards)).applyInPandas(_points_of, POINTS)
 
 
 def second_points(cold: np.ndarray, second: np.ndarray, hot_points: np.ndarray, rows) -> np.ndarray:
@@ -393,6 +383,92 @@ def second_points(cold: np.ndarray, second: np.ndarray, hot_points: np.ndarray,
     return every[second]
 
 
+def _bucket(n: np.ndarray) -> np.ndarray:
+    return np.floor(8 * np.log2(n)).astype(np.int64)
+
+
+def frequent_bucket(pairs: DataFrame, hot: int) -> int:
+    """The least bucket of counts (eight to a doubling) from which up there are HOT_PAIRS pairs of hot words at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(1, np.int64)
+            for x in batch.column(0).to_pylist():
+                _, f, s, n = unpack(x)
+                own = np.bincount(_bucket(n[(f < hot) & (s < hot)]), minlength=len(total))
+                own[: len(total)] += total
+                total = own
+            yield _rows([(int(b), int(total[b])) for b in np.flatnonzero(total)], "bucket int, n long")
+
+    counts = {r["bucket"]: r["n"] for r in pairs.select("pairs").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    least, held = 1 << 20, 0
+    for b in sorted(counts, reverse=True):
+        held += counts[b]
+        if held > HOT_PAIRS:
+            break
+        least = b
+    return least
+
+
+def frequent(first: np.ndarray, second: np.ndarray, n: np.ndarray, taken: np.ndarray, hot: int, least: int) -> bytes:
+    own = np.flatnonzero((first < hot) & (second < hot) & (_bucket(n) >= least))
+    return pack(first[own], second[own], n[own], taken[own])
+
+
+def frequent_rows(hot: int, least: int, taken: np.ndarray):
+    """FREQUENT notes of a PAIRS table from which by count so much is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _, f, s, n = unpack(x)
+                yield _rows([(shard, FREQUENT, frequent(f, s, n, taken[np.minimum(n, 3)], hot, least))], NOTES)
+
+    return run
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)) & np.uint64(FILTER_BITS - 1)
+
+
+def _set_bits(filter_: np.ndarray, hashes: np.ndarray) -> None:
+    bit = _bits(hashes)
+    np.bitwise_or.at(filter_, (bit >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (bit & np.uint64(7)).astype(np.uint8)))
+
+
+def maybe_known(filter_: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    if filter_ is None:
+        return np.ones(len(hashes), bool)
+    bit = _bits(hashes)
+    return (filter_[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def known_filter(pairs: DataFrame, shared, count: int) -> np.ndarray | None:
+    """Bits of all pairs and of their cold words; None where they would fill more than half of it, which changes no result."""
+    if count > FILTER_BITS // 4:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, some = np.zeros(FILTER_BITS // 8, np.uint8), False
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                cold, f, s, _ = unpack(x)
+                _set_bits(own, pair_hash(hashes_of(f, shared.value, cold), hashes_of(s, shared.value, cold)))
+                _set_bits(own, cold.astype(np.uint64))
+                some = True
+        if some:
+            yield _rows([(k, pack(part)) for k, part in enumerate(np.split(own, 64))], "block int, bits binary")
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [pack(np.bitwise_or.reduce([unpack(x)[0].astype(np.uint8) for x in rows["bits"]]))]})
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pairs.select("pairs").mapInArrow(run, "block int, bits binary").groupBy("block").applyInPandas(join, "block int, bits binary").toLocalIterator():
+        part = unpack(r["bits"])[0]
+        out[r["block"] * len(part) : (r["block"] + 1) * len(part)] = part
+    return out
+
+
 # --- scoring ------------------------------------------------------------------------------------------------------------
 
 
@@ -411,6 +487,20 @@ class PairModel:
     hot_counts: np.ndarray
     hot_points: np.ndarray
     hot_left: np.ndarray  # log10
+    frequent: tuple[np.ndarray, np.ndarray]  # sorted numbers of pairs of hot words (first * hot words + second), log10 deltas
+    filter: np.ndarray | None
+
+    def with_frequent(self, notes: DataFrame) -> PairModel:
+        """The model that knows the pairs of FREQUENT notes."""
+        keys, deltas = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for r in notes.where(f"kind = {FREQUENT}").select("note").toLocalIterator():  # HOT_PAIRS in all
+            f, s, n, taken = unpack(r["note"])
+            keys.append(f * np.int64(len(self.hot)) + s)
+            p = self.hot_points[s]
+            deltas.append(np.log10((n - taken) / (self.strength + self.hot_counts[f]) + 10 ** (self.hot_left[f] + p)) - p)
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return replace(self, frequent=(key[order], np.concatenate(deltas)[order]))
 
     def deltas(self, cold, first, second, n, taken, rows) -> tuple[np.ndarray, np.ndarray]:
         """log10 of what each pair makes of its second word's p; log10 left by code of the first word."""
@@ -433,28 +523,52 @@ _SENT = "block long, shard int, kept binary, words binary, pairs binary"
 _ANSWER = "block long, kept binary, sums binary"
 
 
+def _local(model: PairModel, vocab: np.ndarray, code: np.ndarray, ask: np.ndarray, f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 deltas of the pairs that are settled where the texts are, and whether each must be asked for."""
+    hot, (keys, deltas) = len(model.hot), model.frequent
+    a, b = code[f], code[s]
+    value = np.where(a >= 0, model.hot_left[a], 0.0)  # of pairs that the model lacks
+    go = (a >= 0) | ask[f]
+    go[go] = ((a[go] < 0) | maybe_known(model.filter, pair_hash(vocab[f[go]], vocab[s[go]])))
+    if len(keys):
+        both = np.flatnonzero(go & (a >= 0) & (b >= 0))
+        key = a[both] * np.int64(hot) + b[both]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        value[both[hit]] = deltas[at[hit]]
+        go[both[hit]] = False
+    value[go] = 0.0
+    return value, go
+
+
 def _send(model_of: Callable):
     """Of each batch: a row with its kept columns and sums over hot words; a row a shard with other words, and one with pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts, points, shards, tokens, distinct = model_of()
+        model: PairModel = model_of()
+        hot, counts, points, shards, tokens, distinct = model.hot, model.hot_counts, model.hot_points, model.shards, model.tokens, model.distinct
         part = TaskContext.get().partitionId()
         for number, batch in enumerate(kernel.gathered(batches, GATHERED)):
             size = batch.num_rows
             line, document = batch_line(batch.column(batch.num_columns - 1))
             vocab, place = np.unique(line, return_inverse=True)
+            document, place = document.astype(np.int32), place.astype(np.int32)
             code, second = hot_number(hot, vocab), place[1:]
+            del line
             seen = (code >= 0) & (counts[code] > 0)
             sums = [np.bincount(document, minlength=size).astype(float)]
-            sums += [np.bincount(document, np.where(code >= 0, x, 0.0)[second], minlength=size) for x in (seen, base_points(counts[code], tokens, distinct), points[code])]
+            ask = (code < 0) & maybe_known(model.filter, vocab)  # other cold words are not in the model
+            sums += [np.bincount(document, np.where(code >= 0, x, np.where(ask, 0.0, y))[second], minlength=size) for x, y in ((seen, 0.0), (base_points(counts[code], tokens, distinct), base_points(0, tokens, distinct)), (points[code], model.unseen))]
             block = (part << 24) + number
             sink = pa.BufferOutputStream()
             kept = batch.select(batch.schema.names[:-1])
             with pa.ipc.new_stream(sink, kept.schema) as stream:
                 stream.write_batch(kept)
-            rows = [(block, block % shards, sink.getvalue().to_pybytes(), pack(*sums), None)]
-            far = code[second] < 0
+            kept = sink.getvalue().to_pybytes()
+            rows = []
+            far = ask[second]
             key, tf = np.unique(second[far] * np.int64(size) + document[far], return_counts=True)
+            del batch, sink, far
             word, doc = key // size, key % size
             home = (vocab[word] % np.uint64(shards)).astype(np.int64)
             order = np.argsort(home, kind="stable")
@@ -467,9 +581,17 @@ def _send(model_of: Callable):
             key, doc = key[order], document[order]
             new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
             tf, key, doc = np.diff(np.append(new, len(key))), key[new], doc[new]
+            del order, new, place, second, document
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             per_pair, key = np.diff(np.append(begins, len(key))), key[begins]
             f, s = key // len(vocab), key % len(vocab)
+            value, go = _local(model, vocab, code, ask, f, s)
+            of = np.repeat(np.arange(len(f)), per_pair)
+            sums[3] += np.bincount(doc, tf * value[of], minlength=size)
+            rows.append((block, block % shards, kept, pack(*sums), None))
+            of = go[of]
+            doc, tf = doc[of], tf[of]
+            f, s, per_pair = f[go], s[go], per_pair[go]
             shard = _shard_of(vocab, code, f, s, shards)
             order = np.argsort(shard, kind="stable")
             entries = np.argsort(np.repeat(shard, per_pair), kind="stable")
@@ -478,7 +600,10 @@ def _send(model_of: Callable):
                 at = order[own]
                 mine = entries[ends[own.start] - per_pair[at[0]] : ends[own.stop - 1]]
                 rows.append((block, k, None, None, pack(*_coded(vocab, code, f[at], s[at], len(hot)), per_pair[at], doc[mine], tf[mine])))
-            yield _rows(rows, _SENT)
+            made = _rows(rows, _SENT)
+            del rows, key, doc, tf, f, s, entries
+            kernel.give_back()
+            yield made
 
     return run
 
@@ -529,6 +654,7 @@ def _answer(model_of: Callable):
                     value[known[hit]] = deltas[at[hit]]
                 seen, inverse = np.unique(doc, return_inverse=True)
                 out.append((r.block, None, pack(seen, np.bincount(inverse, tf * np.repeat(value, per_pair)))))
+        kernel.give_back()
         return pd.DataFrame(out, columns=["block", "kept", "sums"])
 
     return run
@@ -554,15 +680,16 @@ def _finish(rows: pa.Table) -> pa.Table:
 def score(documents: DataFrame, model: PairModel, text: str) -> DataFrame:
     """documents' other columns, n_tokens, n_known, base_score and score; documents has none of these names."""
     spark = documents.sparkSession
-    small = spark.sparkContext.broadcast((model.hot, model.hot_counts, model.hot_points, model.shards, model.tokens, model.distinct))
-    whole = spark.sparkContext.broadcast(PairModel(None, None, None, model.taken, model.strength, model.shards, model.tokens, model.distinct, model.unseen, model.hot, model.hot_counts, model.hot_points, model.hot_left))
+    forget_shuffles(spark)
+    small = spark.sparkContext.broadcast(replace(model, words=None, pairs=None, notes=None))
+    whole = spark.sparkContext.broadcast(replace(model, words=None, pairs=None, notes=None, frequent=None, filter=None))
     keep = [c for c in documents.columns if c != text]
     source = documents.select(*keep, F.coalesce(documents[text], F.lit("")).alias(text))
     sent = source.mapInArrow(_send(lambda: small.value), _SENT)
     none = F.lit(None).cast("binary")
     part = lambda df, what, *columns: df.select("shard", F.lit(what).alias("what"), *(F.col(c).alias(x) for c, x in zip(columns, "abc", strict=False)), *(none.alias(x) for x in "abc"[len(columns) :]))
-    own = part(model.words, 0, "hashes", "counts", "points").union(part(model.pairs, 1, "pairs")).union(part(points_for_pairs(model.words, model.notes), 3, "hashes", "points"))
+    own = part(model.words, 0, "hashes", "counts", "points").union(part(model.pairs, 1, "pairs")).union(part(points_for_pairs(model.words, model.notes, model.shards), 3, "hashes", "points"))
     own = own.union(part(model.notes.where(f"kind = {STATE}"), 2, "note"))
-    answered = sent.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(_answer(lambda: whole.value), _ANSWER)
+    answered = dealt(sent, model.shards).cogroup(dealt(own, model.shards)).applyInPandas(_answer(lambda: whole.value), _ANSWER)
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return answered.groupBy("block").applyInArrow(_finish, schema)
