@@ -47,14 +47,15 @@ def train(trusted: DataFrame, text: str = "text") -> P.PairModel | None:
     words = P.count_words(texts, shards, False)
     stats, hot_counts = P.count_stats(words, "counts", 0), P.collect_hot(words, "counts", hot)
     pairs = P.count_pairs(texts, shards, lambda: shared.value, len(hot))
-    taken = discounts(P.count_stats(pairs, "pairs", 3))
+    counted = P.count_stats(pairs, "pairs", 3)
+    taken = discounts(counted)
     notes = written(pairs.mapInArrow(P.first_notes(shards, lambda: shared.value, lambda n: taken[np.minimum(n, 3)]), P.NOTES), "notes")
     held = P.collect_restaurants(notes, len(hot))
 
     def continued(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         return own[["shard", "hashes", "counts"]].assign(customers=[P.pack(P.customers_of(own, sent, shared.value))])
 
-    seconds = words.groupBy("shard").cogroup(notes.where(f"kind = {P.CUSTOMERS}").groupBy("shard"))
+    seconds = P.dealt(words, shards).cogroup(P.dealt(notes.where(f"kind = {P.CUSTOMERS}"), shards))
     seconds = written(seconds.applyInPandas(continued, "shard int, hashes binary, counts binary, customers binary"), "seconds")
     seen = P.count_stats(seconds, "customers", 0)
     cut = discounts(seen)
@@ -66,10 +67,13 @@ def train(trusted: DataFrame, text: str = "text") -> P.PairModel | None:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["shard", "hashes", "counts", "points"])
 
     model = written(seconds.mapInArrow(points, "shard int, hashes binary, counts binary, points binary"), "model")
-    discard(words, seconds)
+    asked = written(notes.where(f"kind = {P.ASKED}"), "asked")
+    discard(words, seconds, notes)
     left = np.where(hot_counts > 0, np.log10(np.maximum(held, 1e-300) / np.maximum(hot_counts, 1)), 0.0)
     unseen = float(np.log10(freed / seen["total"] / (seen["rows"] + 1)))
-    return P.PairModel(model, pairs, notes.where(f"kind = {P.ASKED}"), taken, 0.0, shards, stats["total"], stats["rows"], unseen, hot, hot_counts, P.collect_hot(model, "points", hot, "<f8"), left)
+    made = P.PairModel(model, pairs, asked, taken, 0.0, shards, stats["total"], stats["rows"], unseen, hot, hot_counts, P.collect_hot(model, "points", hot, "<f8"), left, None, P.known_filter(pairs, shared, counted["rows"]))
+    least = P.frequent_bucket(pairs, len(hot))
+    return made.with_frequent(pairs.mapInArrow(P.frequent_rows(len(hot), least, taken), P.NOTES))
 
 
 def perplexities(documents: DataFrame, model: P.PairModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -108,8 +112,8 @@ def classify(documents: DataFrame, labels: DataFrame, quantile: float = 0.995, d
     level = F.percentile_approx("p", quantile, 10000)
     every = marks.agg(level).first()[0]
     by_lang = marks.where("_lang is not null").groupBy("_lang").agg(level.alias("t"), F.count("*").alias("n"))
-    by_lang = written(by_lang.select(F.col("_lang").alias("_of"), F.exp((F.col("t") * F.col("n") + F.lit(every).cast("double") * PRIOR_DOCUMENTS) / (F.col("n") + PRIOR_DOCUMENTS)).alias("_t")), "thresholds")
+    by_lang = written(by_lang.select(F.col("_lang").alias("_of"), ((F.col("t") * F.col("n") + F.lit(every).cast("double") * PRIOR_DOCUMENTS) / (F.col("n") + PRIOR_DOCUMENTS)).alias("_t")), "thresholds")
     made = scored.join(F.broadcast(by_lang) if by_lang.count() <= MAX_BROADCAST_IDS else by_lang, F.col("_lang") == F.col("_of"), "left")
-    limit = F.coalesce(F.col("_t"), F.exp(F.lit(every).cast("double")))
-    kept = F.col("_some") & (F.col("perplexity").isNull() | limit.isNull() | (F.col("perplexity") <= limit))
-    return made.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), F.col("perplexity").alias(names[0]), limit.alias(names[1]), kept.alias(names[2]))
+    limit = F.coalesce(F.col("_t"), F.lit(every).cast("double"))
+    kept = F.col("_some") & (F.col("perplexity").isNull() | limit.isNull() | (F.ln("perplexity") <= limit + 1e-9))  # but for rounding
+    return made.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(keep)), F.col("perplexity").alias(names[0]), F.exp(limit).alias(names[1]), kept.alias(names[2]))
