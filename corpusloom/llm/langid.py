@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import pick, unit_hash
+from .packing import added, pack, unpack
 
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -36,9 +37,9 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def gram_counts(column: pa.Array) -> Iterator[np.ndarray | None]:
-    """Counts of the hashed n-grams of each text, or None where it has no letter."""
-    letters, size = _letter_table(), 1 << BITS
+def gram_counts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """The hashed n-grams of each text, in order, and their counts, or None where it has no letter."""
+    letters = _letter_table()
     for lo, hi, data, offsets in kernel.chunks(column):
         base = int(offsets[0])
         part = data[base : int(offsets[-1])]
@@ -59,25 +60,31 @@ def gram_counts(column: pa.Array) -> Iterator[np.ndarray | None]:
             if some[b] == some[a]:
                 yield None
             else:
-                yield np.bincount(np.concatenate([g[a : max(a, b - n + 1)] for n, g in zip(ORDERS, grams, strict=True)]), minlength=size)
+                own = np.concatenate([g[a : max(a, b - n + 1)] for n, g in zip(ORDERS, grams, strict=True)])
+                if len(own) > 1 << (BITS - 2):
+                    dense = np.bincount(own)
+                    seen = np.flatnonzero(dense)
+                    yield seen, dense[seen]
+                else:
+                    yield np.unique(own, return_counts=True)
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
     idf: np.ndarray
-    features: np.ndarray  # with a weight other than zero
-    weights: np.ndarray  # features x languages, divided by the temperature
+    weights: np.ndarray  # n-grams x languages, divided by the temperature
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
         names, scores = [], []
-        for counts in gram_counts(column):
-            if counts is None or not self.languages:
+        for grams in gram_counts(column):
+            if grams is None or not self.languages:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            x = counts * self.idf
-            z = x[self.features] @ self.weights / np.sqrt(x @ x)
+            at, counts = grams
+            x = counts * self.idf[at]
+            z = x @ self.weights[at] / np.sqrt(x @ x)
             p = np.exp(z - z.max())
             best = int(p.argmax())
             names.append(self.languages[best])
@@ -88,24 +95,19 @@ class LanguageModel:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
-        for counts in gram_counts(batch.column(0)):
-            if counts is not None:
-                df += counts > 0
+        for grams in gram_counts(batch.column(0)):
+            if grams is not None:
+                df[grams[0]] += 1
                 n += 1
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.append(df, n).astype("<i8").tobytes()], pa.binary())], names=["k", "df"])
-
-
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"k": [0], "df": [sum(np.frombuffer(x, "<i8") for x in rows["df"]).astype("<i8").tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pack(np.append(df, n))], pa.binary())], names=["k", "df"])
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = []
-        for counts in gram_counts(batch.column(0)):
-            at = np.flatnonzero(counts) if counts is not None else np.zeros(0, int)
-            packed.append(np.stack([at, counts[at]]).astype("<i4").tobytes() if len(at) else None)
+        for grams in gram_counts(batch.column(0)):
+            packed.append(pack(*grams) if grams is not None else None)
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["lang", "u", "grams"])
 
 
@@ -140,16 +142,22 @@ def best_temperature(scores: np.ndarray, classes: np.ndarray) -> float:
 
 
 def train(documents: DataFrame, trains: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
-    """Fits on the documents where trains holds and lang is not null; without any, the model says `und` always."""
+    """Fits on the documents where trains holds and lang is not null; without any, the model says `und` always.
+
+    Document frequencies count all of them.  The fit uses PER_LANGUAGE documents of each language at most, chosen by a hash of
+    the id, and MAX_SAMPLE in all; with more languages than that, the commonest are learned.  Null and letterless texts
+    teach nothing.
+    """
     spark = documents.sparkSession
     base = documents.where(trains & documents[lang].isNotNull()).select(F.lower(documents[text]).alias("text"), documents[lang].cast("string").alias("lang"), documents[doc_id].alias("id"))
     base = base.where("text is not null")
     counts = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_SAMPLE).collect()}
     languages = sorted(counts)
-    total = base.select("text").mapInArrow(_frequencies, "k int, df binary").groupBy("k").applyInPandas(_add, "k int, df binary").collect()
+    total = base.select("text").mapInArrow(_frequencies, "k int, df binary")
+    total = added(total, "k int", "df").collect()
     if not total:
-        return LanguageModel([], np.ones(1 << BITS), np.zeros(0, int), np.zeros((0, 0)))
-    df = np.frombuffer(total[0]["df"], "<i8")
+        return LanguageModel([], np.ones(1 << BITS), np.zeros((1 << BITS, 0)))
+    df = unpack(total[0]["df"])[0]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     each = max(2, min(PER_LANGUAGE, MAX_SAMPLE // len(languages)))
     shares = spark.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "lang string, share double")
@@ -157,8 +165,9 @@ def train(documents: DataFrame, trains: Column, text: str = "text", lang: str =
     sample = base.join(F.broadcast(shares), "lang").where(u < F.col("share")).select("text", "lang", (unit_hash(F.lit("held"), F.col("id"))).alias("u"))
     number = {k: i for i, k in enumerate(languages)}
     rows, classes, held = [], [], []
-    for r in sample.mapInArrow(_sample_rows, "lang string, u double, grams binary").where("grams is not null").limit(2 * MAX_SAMPLE).collect():
-        at, count = np.frombuffer(r["grams"], "<i4").reshape(2, -1)
+    found = sample.mapInArrow(_sample_rows, "lang string, u double, grams binary").where("grams is not null")
+    for r in found.orderBy("u", "grams").limit(2 * MAX_SAMPLE).toLocalIterator():  # in an order that any run repeats
+        at, count = unpack(r["grams"])
         x = count * idf[at]
         rows.append((at, x / np.sqrt(x @ x)))
         classes.append(number[r["lang"]])
@@ -168,14 +177,14 @@ def train(documents: DataFrame, trains: Column, text: str = "text", lang: str =
         out[:] = False
     weights = fit_ftrl([rows[k] for k in np.flatnonzero(~out)], y[~out], len(languages), 1 << BITS)
     scores = np.array([rows[k][1] @ weights[rows[k][0]] for k in np.flatnonzero(out)])
-    features = np.flatnonzero(np.abs(weights).any(axis=1))
-    return LanguageModel(languages, idf, features, weights[features] / best_temperature(scores, y[out]))
+    return LanguageModel(languages, idf, weights / best_temperature(scores, y[out]))
 
 
 def predict(documents: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1); `und` with score 0 where the text is null or has no letter.
 
-    Whole texts count; repeated rows get equal results; where a name is taken, the added column gets an underscore.
+    Whole texts count; repeated rows get equal results, an empty table gives an empty one; where a name is taken, the added
+    column gets an underscore.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     lang_pred, score, both = (pick(documents, x) for x in ("lang_pred", "score", "_both"))
