@@ -7,7 +7,9 @@ far commoner in the confirmed documents; on these a logistic model is fitted in
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 (Kiryo et al., 2017): where the corrected risk of the unlabelled turns negative, the step goes the other way.  A fifth of the
-labelled training rows takes no part in this; on it scale and offset of the scores are calibrated.
+confirmed and of the unlabelled documents takes no part in this; on them scale and offset of the scores are set by the same
+risk.  The unlabelled documents of the risk are those that have a label, whatever it is, with the label hidden: so the prior,
+the share of toxic ones among them, is theirs.  Documents labelled clean count nowhere else.
 """
 
 from __future__ import annotations
@@ -23,13 +25,12 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import pick, unit_hash
+from .packing import added, pack, unpack
 
 BITS = 20
 STEMS = (4, 5, 6)  # bytes of a word's beginning
 MAX_CONFIRMED = 20_000  # confirmed documents that are used for fitting
-MAX_UNLABELLED = 20_000  # unlabelled documents in the fit; counts cover all
-MAX_CALIBRATION = 20_000  # labelled documents for calibration
-MAX_FEATURES = 4096
+MAX_UNLABELLED = 20_000  # unlabelled documents of the risk; feature counts cover all
 LEAST_RATIO, LEAST_DOCUMENTS, LEAST_ERRORS = 4.0, 3, 3.5  # of a feature: share ratio, confirmed documents, standard errors
 _BLOCK = 1 << 16
 
@@ -70,25 +71,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for side in (0, 1):
         if totals[side]:
-            rows.append((side, -1, np.array([totals[side]], "<i8").tobytes()))
-            rows += [(side, b, part.tobytes()) for b in range((1 << BITS) // _BLOCK) if (part := counts[side][b * _BLOCK : (b + 1) * _BLOCK].astype("<i8")).any()]
+            rows.append((side, -1, pack(np.array([totals[side]]))))
+            rows += [(side, b, pack(part)) for b in range((1 << BITS) // _BLOCK) if (part := counts[side][b * _BLOCK : (b + 1) * _BLOCK]).any()]
     if rows:
         side, block, packed = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())], names=["side", "block", "counts"])
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<i8") for x in rows["counts"])
-    return pd.DataFrame({"side": rows["side"].iloc[:1], "block": rows["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
-
-
 def _rows_of(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.zeros(1 << BITS, bool)
         kept[features] = True
         for batch in batches:
             packed = [x[kept[x]].astype("<i4").tobytes() for x in document_features(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary())], names=["side", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["side", "u", "features"])
 
     return run
 
@@ -120,17 +116,26 @@ def fit_nnpu(confirmed: list[np.ndarray], unlabelled: list[np.ndarray], size: in
     return weights[:size], float(weights[size])
 
 
-def calibrate(z: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Scale (> 0) and offset of a logistic fit of toxic on z, drawn a little towards (1, 0)."""
-    scale, offset = 1.0, 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(scale * z + offset, -30, 30)))
-        slope = np.array([(z * (p - toxic)).sum() + (scale - 1), (p - toxic).sum() + 0.1 * offset])
-        v = p * (1 - p)
-        curve = np.array([[(z * z * v).sum() + 1, (z * v).sum()], [(z * v).sum(), v.sum() + 0.1]])
-        step = np.linalg.solve(curve, slope)
-        scale, offset = max(0.05, scale - float(np.clip(step[0], -0.5, 0.5))), offset - float(np.clip(step[1], -1, 1))
-    return scale, offset
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the non-negative risk with logistic loss: prior * R_p(+), and R_u(-) - prior * R_p(-)."""
+    return prior * float(np.logaddexp(0, -z_p).mean()), float(np.logaddexp(0, z_u).mean()) - prior * float(np.logaddexp(0, z_p).mean())
+
+
+def calibrate(z_p: np.ndarray, z_u: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02) -> tuple[float, float]:
+    """Scale (> 0) and offset of scores, by the same risk on confirmed and unlabelled scores that took no part in the fit."""
+    value, moment, square = np.array([1.0, 0.0]), np.zeros(2), np.zeros(2)
+    slope = lambda z, p: np.array([(z * p).mean(), p.mean()])
+    for step in range(1, rounds + 1):
+        p, u = (1 / (1 + np.exp(-np.clip(value[0] * z + value[1], -30, 30))) for z in (z_p, z_u))
+        negative = slope(z_u, u) - prior * slope(z_p, p)
+        g = prior * slope(z_p, p - 1) + negative
+        if risk(value[0] * z_p + value[1], value[0] * z_u + value[1], prior)[1] < 0:
+            g = -negative
+        g += 1e-3 * (value - [1, 0])
+        moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
+        value = value - rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        value[0] = max(value[0], 0.05)
+    return float(value[0]), float(value[1])
 
 
 def train(documents: DataFrame, labels: DataFrame, trains: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None) -> ToxicityModel | None:
@@ -138,53 +143,65 @@ def train(documents: DataFrame, labels: DataFrame, trains: Column, doc_id: str =
 
     The prior, if not given, is the toxic share of the labelled training rows.  Of repeated labels the largest counts; null
     labels and ids are left out.  At most about MAX_CONFIRMED confirmed documents (a hash sample beyond) mark the positive
-    side, a list small enough to broadcast; all other training documents are unlabelled.
+    side, and about MAX_UNLABELLED of those with any label are the unlabelled ones of the risk, both lists small enough to
+    broadcast; features are counted in the confirmed documents against all other training documents.  Features are all that are signs of toxicity by their counts over all documents.
     """
     marks = labels.where(labels[label].isNotNull() & labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("_id")).agg(F.max(label).alias("_y"))
     marks = marks.withColumnRenamed("_id", doc_id).where(trains).withColumnRenamed(doc_id, "_id")
-    marks = marks.withColumn("_held", unit_hash(F.lit("calibration"), F.col("_id")) < 0.2)
-    total = marks.agg(F.count("*").alias("n"), F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("_held"), 1).otherwise(0)).alias("h")).first()
+    total = marks.agg(F.count("*").alias("n"), F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("p")).first()
     if not total["p"]:
         return None
     prior = min(0.9, total["p"] / total["n"]) if prior is None else prior
-    u = unit_hash(F.col("_id"))
-    positive = marks.where("_y = 1 and not _held").where(u < MAX_CONFIRMED / total["p"]).select("_id", F.lit(1).alias("_side")).limit(2 * MAX_CONFIRMED)
-    held = marks.where("_held").where(u < MAX_CALIBRATION / max(1, total["h"])).select("_id", F.when(F.col("_y") == 1, 3).otherwise(2).alias("_side")).limit(2 * MAX_CALIBRATION)
-    chosen = positive.union(held)
-    side = F.coalesce("_side", F.lit(0)).cast("int").alias("side")
+    marks = marks.withColumn("_u", unit_hash(F.col("_id")))
+    first = lambda rows, most, count: rows.where(F.col("_u") < most / count).orderBy("_u", "_id").limit(2 * most).select("_id")
+    confirmed = first(marks.where("_y = 1"), MAX_CONFIRMED, total["p"]).withColumn("_p", F.lit(True))
+    chosen = confirmed.join(first(marks, MAX_UNLABELLED, total["n"]).withColumn("_s", F.lit(True)), "_id", "full_outer")
+    side = F.when(F.col("_p"), 1).otherwise(0).alias("side")
     base = documents.select(doc_id, F.lower(documents[text]).alias("_text")).where(trains)
-    marked = base.join(F.broadcast(chosen), base[doc_id] == chosen["_id"], "left").select("_text", side, unit_hash(base[doc_id]).alias("u"))
+    marked = base.join(F.broadcast(chosen), base[doc_id] == chosen["_id"], "left").select("_text", side, F.coalesce("_s", F.lit(False)).alias("s"), unit_hash(base[doc_id]).alias("u"))
 
     counts, totals = np.zeros((2, 1 << BITS), np.int64), [0, 0]
-    for r in marked.where("side < 2").select("_text", "side").mapInArrow(_count, "side int, block int, counts binary").groupBy("side", "block").applyInPandas(_add, "side int, block int, counts binary").collect():
-        values = np.frombuffer(r["counts"], "<i8")
+    for r in added(marked.select("_text", "side").mapInArrow(_count, "side int, block int, counts binary"), "side int, block int", "counts").toLocalIterator():
+        values = unpack(r["counts"])[0]
         if r["block"] < 0:
             totals[r["side"]] = int(values[0])
         else:
             counts[r["side"]][r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = values
     if not totals[1]:
         return None
+    features = np.concatenate([_signs(counts[:, at : at + _BLOCK], totals, prior) + at for at in range(0, 1 << BITS, _BLOCK)])
+    del counts
+    kinds = (F.col("side") + F.when(F.col("s"), 2).otherwise(0)).alias("side")
+    sample = marked.where("side = 1 or s").select("_text", kinds, "u").mapInArrow(_rows_of(features), "side int, u double, features binary")
+    sets: list[list[np.ndarray]] = [[], [], [], []]  # unlabelled, confirmed; the same for calibration
+    for r in sample.orderBy("u", "side", "features").limit(2 * (MAX_CONFIRMED + MAX_UNLABELLED)).toLocalIterator():  # in an order that any run repeats
+        held = 2 * (int(r["u"] * (1 << 40)) % 5 == 0)
+        own = np.searchsorted(features, np.frombuffer(r["features"], "<i4")).astype(np.int32)
+        if r["side"] & 1:
+            sets[1 + held].append(own)
+        if r["side"] & 2:
+            sets[held].append(own)
+    if not sets[1]:
+        sets[:2], sets[2:] = sets[2:], [[], []]
+    weights, bias = fit_nnpu(sets[1], sets[0], len(features), prior)
+    z_u, z_p = (np.array([weights[x].sum() for x in own]) + bias for own in sets[2:])
+    scale, offset = calibrate(z_p, z_u, prior) if len(z_p) and len(z_u) else (1.0, 0.0)
+    return ToxicityModel(features, weights * scale, bias * scale + offset)
+
+
+def _signs(counts: np.ndarray, totals: list[int], prior: float) -> np.ndarray:
+    """Features that confirmed documents have far oftener than others."""
     shares = [(counts[s] + 0.5) / (totals[s] + 1) for s in (0, 1)]
     ratio = np.log(shares[1] / shares[0])
     errors = np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
-    good = np.flatnonzero((counts[1] >= LEAST_DOCUMENTS) & (ratio >= LEAST_ERRORS * errors) & (ratio >= np.log(min(LEAST_RATIO, 0.5 / prior))))
-    features = np.sort(good[np.argsort(-(counts[1][good] * ratio[good]), kind="stable")[:MAX_FEATURES]])
-    share = min(1.0, MAX_UNLABELLED / max(1, totals[0]))
-    sample = marked.where((F.col("side") >= 1) | (F.col("u") < share)).select("_text", "side").mapInArrow(_rows_of(features), "side int, features binary").limit(2 * (MAX_CONFIRMED + MAX_UNLABELLED + MAX_CALIBRATION))
-    sets: list[list[np.ndarray]] = [[], [], [], []]
-    for r in sample.collect():
-        sets[r["side"]].append(np.searchsorted(features, np.frombuffer(r["features"], "<i4")))
-    weights, bias = fit_nnpu(sets[1], sets[0], len(features), prior)
-    z = np.array([weights[x].sum() for x in (*sets[2], *sets[3])]) + bias
-    scale, offset = calibrate(z, np.repeat([0.0, 1.0], [len(sets[2]), len(sets[3])])) if len(z) else (1.0, 0.0)
-    return ToxicityModel(features, weights * scale, bias * scale + offset)
+    return np.flatnonzero((counts[1] >= LEAST_DOCUMENTS) & (ratio >= LEAST_ERRORS * errors) & (ratio >= np.log(min(LEAST_RATIO, 0.5 / prior))))
 
 
 def score(documents: DataFrame, model: ToxicityModel | None, text: str = "text") -> DataFrame:
     """Adds toxicity, 0 to 1, from the text alone; 0 without a model.  Null, empty and wordless texts get the bias's score.
 
-    Texts count whole, whatever their length; repeated rows get equal scores; a column of that name stays, and the added
-    one is called _toxicity.
+    Texts count whole, whatever their length; repeated rows get equal scores, an empty table gives an empty one; a column of
+    that name stays, and the added one is called _toxicity.
     """
     name = pick(documents, "toxicity")
     if model is None:
