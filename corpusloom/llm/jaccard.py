@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import discard, written
+from .common import discard, forget_shuffles, written
 from .components import connected
+from .packing import added, pack, unpack
 
 SKETCH_CELLS = 1 << 20
 SKETCH_BLOCK = 1 << 16
@@ -97,20 +98,13 @@ def _sizes_and_sketch(n: int):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array([-1] * batch.num_rows, pa.int32()), nulls], names=names)
         if seen:
             blocks = range(SKETCH_CELLS // SKETCH_BLOCK)
-            packed = [np.minimum(sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK], 65535).astype("<u2").tobytes() for b in blocks]
+            packed = [pack(sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]) for b in blocks]
             k = len(packed)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(list(blocks), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
 
-def _add_sketches(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_BLOCK, np.int64)
-    for x in rows["counts"]:
-        total += np.frombuffer(x, "<u2")
-    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "counts": [np.minimum(total, 1 << 31).astype("<u4").tobytes()]})
-
-
 def _prefixes(n: int, percent: int, sketch: np.ndarray):
     mask = np.uint64(SKETCH_CELLS - 1)
 
@@ -163,12 +157,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = seen or batch.num_rows > 0
     if seen:
         parts = np.split(marks, 32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "bits"])
-
-
-def _join_marks(rows: pd.DataFrame) -> pd.DataFrame:
-    whole = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
-    return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [whole.tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array([pack(p) for p in parts], pa.binary())], names=["block", "bits"])
 
 
 def _sets(n: int):
@@ -233,8 +222,8 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     seen = written(source.mapInArrow(_sizes_and_sketch(n), "doc_id long, digest long, n_shingles long, cls long, block int, counts binary"), "sets")
     docs = seen.where("block < 0").select("doc_id", "digest", "n_shingles", "cls")
     sketch = np.zeros(SKETCH_CELLS, np.int64)
-    for row in seen.where("block >= 0").select("block", "counts").groupBy("block").applyInPandas(_add_sketches, "block int, counts binary").collect():
-        sketch[row["block"] * SKETCH_BLOCK : (row["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(row["counts"], "<u4")
+    for row in added(seen.where("block >= 0").select("block", "counts"), "block int", "counts").toLocalIterator():
+        sketch[row["block"] * SKETCH_BLOCK : (row["block"] + 1) * SKETCH_BLOCK] = np.minimum(unpack(row["counts"])[0], 1 << 30)
 
     texts = documents.select(documents[text].alias("text"))
     prefixes = texts.mapInArrow(_prefixes(n, percent, sketch.astype(np.int32)), "cls long, n long, prefix binary").dropDuplicates(["cls"])
@@ -243,12 +232,15 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     heads = postings.groupBy("token").agg(F.count("*").alias("members"), F.min(F.expr(_CENTRAL)).alias("head_key")).where("members > 1").select("token", "head_key")
     heads = written(heads, "heads")
     marks = np.zeros(MARK_BITS // 8, np.uint8)
-    for row in heads.select("token").mapInArrow(_mark, "block int, bits binary").groupBy("block").applyInPandas(_join_marks, "block int, bits binary").collect():
-        own = np.frombuffer(row["bits"], np.uint8)
+    for row in added(heads.select("token").mapInArrow(_mark, "block int, bits binary"), "block int", "bits", union=True).toLocalIterator():
+        own = unpack(row["bits"])[0]
         marks[row["block"] * len(own) : (row["block"] + 1) * len(own)] = own
     marked = spark.sparkContext.broadcast(marks)
+    del marks
     postings = packed.mapInArrow(_unpack_prefixes(lambda: marked.value), _POSTING)
     shared = written(postings.join(heads, "token").withColumn("is_head", F.col("head_key") == F.expr(_CENTRAL)).drop("head_key"), "shared")
+    marked.destroy()
+    forget_shuffles(spark)
 
     def opened(places: DataFrame, name: str) -> DataFrame:
         """Links of places(group, cls, is_query): each query checked against the members of its groups.
@@ -265,6 +257,7 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         moved = texts.mapInArrow(_sets(n), "cls long, tokens binary").join(_broadcast_if_small(dealt), "cls")
         made = written(moved.groupBy("group", "share").applyInPandas(_open_groups(percent), "src long, dst long").distinct(), name)
         discard(places, dealt)
+        forget_shuffles(spark)
         return made
 
     leaders = shared.where("is_head").select("token", F.col("cls").alias("head"), F.col("n").alias("head_n"), F.col("at").alias("head_at"))
@@ -280,8 +273,9 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     placed = shared.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     placed = written(placed.join(open_tokens, "token", "left_semi").select("token", "cls", "n", "at", "component"), "placed")
-    counts = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("cls") / BLOCK_MEMBERS).cast("long").alias("blocks"))
-    member = placed.join(counts, "component").withColumn("part", F.pmod(F.xxhash64("cls"), F.greatest("blocks", F.lit(1))))
+    counts = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("cls") / BLOCK_MEMBERS).cast("long").alias("blocks")).where("blocks > 1")
+    counts = written(counts, "blocks")  # of large components only, so that these are not dealt to one task each
+    member = placed.join(_broadcast_if_small(counts), "component", "left").withColumn("part", F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1).cast("long"))))
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
     cells = member.groupBy("token", "component", "part", bands.alias("own")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("at")).alias("rest"))
     cells = cells.withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1))).drop("own")
@@ -300,7 +294,8 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     more = opened(asked_members.select(block, "cls", F.lit(False).alias("is_query")).union(asked.select(block, F.col("query").alias("cls"), F.lit(True).alias("is_query"))), "more_links")
     every = written(links.union(more), "all_links")
     final = connected(every)
-    discard(packed, heads, shared, led, links, placed, asked, asked_members, more, every)
+    discard(packed, heads, shared, led, links, placed, counts, asked, asked_members, more, every)
+    forget_shuffles(spark)
 
     classes = docs.join(final.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
