@@ -59,7 +59,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive addressed by content and read back."""
     path = warc.new_archive(spark)
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.verified(warc.read_index(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import forget_shuffles, scratch_dir
 
 CRLF = "\r\n"
 HEADERS_A_FILE, BYTES_A_FILE = 20_000, 16 << 20
@@ -99,6 +99,7 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     stored = entries.select("sha256", "page_id", deflated(F.col("payload")).alias("packed"))
     match = (stored["sha256"] == wanted["sha256"]) & stored["page_id"].eqNullSafe(wanted["page_id"])
     stored.join(wanted, match, "left_semi").dropDuplicates(["sha256"]).select("sha256", "packed").coalesce(files(size["bytes"], BYTES_A_FILE)).write.parquet(f"{path}/payloads")
+    forget_shuffles(spark)
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -115,16 +116,24 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Original records: page_id, row, record_type, header and payload (each record's full one), and verified.
 
-    verified tells that the stored payload still has the digests it is filed under and, for responses, the length stated.
+    verified tells that the stored payload still has the digests it is filed under and, for responses, the length stated;
+    a record whose payload is lost stays, with a null payload and not verified.
     """
     headers = spark.read.schema("page_id long, row long, header binary, sha256 string").parquet(f"{path}/headers")
     stored = _payloads(spark, path)
     stored = stored.withColumn("intact", F.coalesce(F.sha2("payload", 256) == F.col("sha256"), F.lit(False))).withColumn("payload_sha1", base32_of_hex(F.sha1("payload")))
-    made = headers.join(stored, "sha256")
+    made = headers.join(stored, "sha256", "left").withColumn("intact", F.coalesce("intact", F.lit(False)))
     kind = header_field(F.col("header"), "WARC-Type")
     stated = header_field(F.col("header"), "Content-Length").cast("long")
     ok = F.col("intact") & (header_field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_sha1"))) & ((kind != "response") | (stated == F.octet_length("payload")))
-    return made.select("page_id", "row", kind.alias("record_type"), "header", "payload", ok.alias("verified"))
+    return made.select("page_id", "row", kind.alias("record_type"), "header", "payload", F.coalesce(ok, F.lit(False)).alias("verified"))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """The records without verified, as long as all are; one that is not ends the job."""
+    what = F.concat(F.lit("the archive's record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" is damaged"))
+    checked = F.when(F.col("verified"), F.col("record_type")).otherwise(F.raise_error(what).cast("string"))
+    return records.withColumn("record_type", checked).drop("verified")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
@@ -136,6 +145,8 @@ def record_bytes(records: DataFrame) -> DataFrame:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row a record, read from the archive: page_id, payload_bytes, payload_digest, record_type, refers_to, verified.
 
+    Records whose payload is lost stay, with nulls and not verified.
+
     Payloads are read once, where they are stored; their lengths and digests, not they, are joined with the headers.
     """
     stored = _payloads(spark, path)
@@ -143,9 +154,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.schema("page_id long, row long, header binary, sha256 string").parquet(f"{path}/headers")
     field = lambda name: header_field(F.col("header"), name)
     headers = headers.select("page_id", "sha256", field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest").alias("stated"), field("Content-Length").cast("long").alias("length"), F.expr("nullif(regexp_extract(string(header), 'WARC-Refers-To: <urn:page:(-?[0-9]+):', 1), '')").cast("long").alias("refers_to"))
-    made = headers.join(stored, "sha256")
+    made = headers.join(stored, "sha256", "left").withColumn("intact", F.coalesce("intact", F.lit(False)))
     ok = F.col("intact") & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & ((F.col("record_type") == "revisit") | (F.col("length") == F.col("payload_bytes")))
-    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", ok.alias("verified"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce(ok, F.lit(False)).alias("verified"))
 
 
 def new_archive(spark: SparkSession) -> str:
