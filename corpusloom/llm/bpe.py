@@ -232,7 +232,8 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text that packed ids stand for; null ids decode to an empty text."""
+    """Adds the text that packed ids stand for; null ids decode to an empty text; a name that is taken gets underscores."""
+    out = pick(df, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     at = df.columns.index(ids)
 

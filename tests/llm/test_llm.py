@@ -183,6 +183,68 @@ def test_toxicity_accuracy(spark):
     assert hit / said > 0.85 and hit / toxic > 0.75
 
 
+def test_positive_unlabelled_risk_and_steps():
+    rng = np.random.default_rng(6)
+    size, prior, rate, decay = 7, 0.3, 0.05, 1e-3
+    sets = [[np.flatnonzero(rng.random(size) < q) for _ in range(n)] for q, n in ((0.6, 9), (0.3, 15))]
+    dense = [np.array([np.isin(np.arange(size), x) for x in own], float) for own in sets]
+    value = np.append(np.ones(size), -3.0)
+    score = lambda v, s: dense[s] @ v[:size] + v[size]
+
+    def parts(v):
+        plus, minus = np.log1p(np.exp(-score(v, 0))).mean(), np.log1p(np.exp(score(v, 0))).mean()
+        return prior * plus, np.log1p(np.exp(score(v, 1))).mean() - prior * minus
+
+    assert toxicity.risk(score(value, 0), score(value, 1), prior) == pytest.approx(parts(value))
+    moment, square, turned = np.zeros(size + 1), np.zeros(size + 1), 0
+    for step in range(1, 61):  # the same steps from numerical gradients
+        a, b = parts(value)
+        turned += b < 0
+        of = (lambda v: -parts(v)[1]) if b < 0 else lambda v: sum(parts(v))
+        g = np.array([(of(value + h) - of(value - h)) / 2e-6 for h in np.eye(size + 1) * 1e-6]) + np.append(decay * value[:size], 0)
+        moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
+        value = value - rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        value[:size] = np.maximum(value[:size], 0)
+    weights, bias = toxicity.fit_nnpu(*sets, size, prior, 60, rate, decay)
+    assert np.allclose(np.append(weights, bias), value, atol=1e-3) and turned > 0
+    z_p, z_u = rng.normal(2, 1, 400), np.append(rng.normal(2, 1, 300), rng.normal(-2, 1, 700))
+    scale, offset = toxicity.calibrate(z_p - 1, z_u - 1, 0.3)  # scores that are off by one
+    assert scale > 0 and 0.5 < offset / scale < 1.5
+
+
+def test_regularised_leader_steps():
+    rng = np.random.default_rng(5)
+    size, n, rows, classes = 11, 3, [], []
+    for _ in range(8):
+        at = np.flatnonzero(rng.random(size) < 0.4)
+        rows.append((at, rng.random(len(at))))
+        classes.append(int(rng.integers(n)))
+    z, g2 = np.zeros((size, n)), np.zeros((size, n))
+
+    def weight(i, k):
+        if abs(z[i, k]) <= langid.L1:
+            return 0.0
+        return -(z[i, k] - math.copysign(langid.L1, z[i, k])) / ((langid.BETA + math.sqrt(g2[i, k])) / langid.ALPHA + langid.L2)
+
+    for epoch in range(2):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            at, value = rows[r]
+            old = {(i, k): weight(i, k) for i in at for k in range(n)}
+            e = [math.exp(sum(v * old[i, k] for i, v in zip(at, value, strict=True))) for k in range(n)]
+            for i, v in zip(at, value, strict=True):
+                for k in range(n):
+                    g = v * (e[k] / sum(e) - (k == classes[r]))
+                    z[i, k] += g - (math.sqrt(g2[i, k] + g * g) - math.sqrt(g2[i, k])) / langid.ALPHA * old[i, k]
+                    g2[i, k] += g * g
+    want = np.array([[weight(i, k) for k in range(n)] for i in range(size)])
+    assert np.allclose(langid.fit_ftrl(rows, np.array(classes), n, size, 2), want)
+    scores = rng.normal(size=(300, n)) * 3
+    truth = (scores / 2 + rng.gumbel(size=scores.shape)).argmax(axis=1)
+    loss = lambda t: np.mean([-math.log(math.exp(x[y] / t) / sum(math.exp(v / t) for v in x)) for x, y in zip(scores, truth, strict=True)])
+    best = langid.best_temperature(scores, truth)
+    assert loss(best) <= min(loss(best * 1.05), loss(best / 1.05)) + 1e-9
+
+
 def test_toxicity_on_awkward_rows(spark, prose):
     df = documents(spark, [prose(40) + (" idiot" if i % 3 == 0 else "") for i in range(60)])
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
@@ -267,6 +329,16 @@ def test_warc_round_trip(spark):
 
     read = [x for t in text for x in records(t)]
     assert sum(h["warc-type"] == "response" for h, _ in read) == 3 and sorted(len(b) for h, b in read if h["warc-type"] == "response") == [0, 4, 100_000]
+    for kept in (spark.read.parquet(f"{path}/payloads").limit(2), spark.read.parquet(f"{path}/payloads").withColumn("packed", F.lit(zlib.compress(b"other")))):
+        broken = warc.new_archive(spark)
+        kept.write.parquet(f"{broken}/payloads")  # a payload lost, or all of them damaged
+        spark.read.parquet(f"{path}/headers").write.parquet(f"{broken}/headers")
+        for read in (warc.read_index, warc.read_records):
+            made = read(spark, broken)
+            assert made.count() == len(rows) and made.where("not verified").count() > 0
+            with pytest.raises(Exception, match="damaged"):
+                warc.verified(made).collect()
+    assert warc.verified(full).count() == len(rows)
     empty = warc.new_archive(spark)
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.read_index(spark, empty).count() == 0
@@ -295,7 +367,7 @@ def predictive(model):
         points |= dict(zip(pairs.unpack(r["hashes"])[0].astype(np.uint64).tolist(), 10 ** pairs.unpack(r["points"])[0], strict=True))
     left, delta = {}, {}
     states = {r["shard"]: r["note"] for r in model.notes.where(f"kind = {pairs.STATE}").collect()}
-    near = pairs.points_for_pairs(model.words, model.notes).collect()
+    near = pairs.points_for_pairs(model.words, model.notes, model.shards).collect()
     for r in model.pairs.collect():
         cold, first, second, n = pairs.unpack(r["pairs"])
         deltas, lefts = model.deltas(cold, first, second, n, pairs.unpack(states[r["shard"]])[0].astype(float), [(x["hashes"], x["points"]) for x in near if x["shard"] == r["shard"]])
@@ -456,6 +528,39 @@ def test_line_dedup_on_awkward_rows(spark, prose):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_hot_keys(spark, prose, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rng = random.Random(4)
+    shared = [prose(60), prose(55)]
+    rows = [(i, "\n".join([prose(8), shared[i % 2], prose(8)] if i % 5 else [shared[0], shared[1]])) for i in range(30)]
+    for keys in (100, 1):
+        monkeypatch.setattr(line_dedup, "HOT_KEYS", keys)
+        made = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), tails=True)
+        assert {r["doc_id"]: r["kept_text"] for r in made.collect()} == without_any_repeats(rows, 50)
+
+
+MAXIMAL_RUNS = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+t AS (SELECT doc_id, raw, line, regexp_replace(raw, '^[\t-\r ]+|[\t-\r ]+$', '', 'g') AS content FROM l),
+s AS (SELECT doc_id, line, content, len(regexp_extract_all(content, '[^\t-\r ]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS nth FROM t WHERE content <> ''),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY nth)::BIGINT AS upto FROM s),
+e AS (SELECT a.doc_id, a.nth AS first, b.nth AS last, b.upto - a.upto + a.words AS size, b.words AS tail, a.words AS head FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.nth >= a.nth AND b.upto - a.upto + a.words >= 50),
+m AS (SELECT doc_id, first, last FROM e WHERE size - tail < 50 OR size - head < 50),
+g AS (SELECT m.doc_id, first, last, list(c.content ORDER BY c.nth) AS run FROM m JOIN c ON c.doc_id = m.doc_id AND c.nth BETWEEN first AND last GROUP BY ALL),
+r AS (SELECT doc_id, first, last, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS seen FROM g),
+x AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS nth FROM r WHERE seen > 1)
+SELECT d.doc_id, count(x.nth) AS removed_lines FROM documents d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def test_line_dedup_query_equals_sql_of_maximal_runs(spark):
+    """The registered SQL has forward windows only; this has the shortest runs that begin or end at each line."""
+    duck = pytest.importorskip("duckdb").connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = dict(duck.execute(MAXIMAL_RUNS).fetchall())
+    assert {r["doc_id"]: r["removed_lines"] for r in queries.op8_line_dedup(spark, SF).collect()} == want and sum(want.values()) > 0
+
+
 def without_any_repeats(rows, least):
     """Texts without later repeats, by listing every run of so many words or more."""
     first, out = {}, {}
