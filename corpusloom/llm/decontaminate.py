@@ -15,17 +15,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import written
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-ITEM_BATCH = 4096
+ITEM_GRAMS = 1 << 20  # n-grams of the items that are searched at once, and broadcast
 _FILTER_BITS = 20
 
 
@@ -73,20 +71,27 @@ class Seeds:
         return at[self.unique[near] == grams[at]]
 
 
-def _count_seeds(seeds_of, n: int):
+def _found(words: kernel.Words, seeds: Seeds, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds' n-grams in some documents: hashes, positions and documents."""
+    grams = kernel.ngram_hashes(words.hashes, n)
+    at = seeds.find(grams)
+    document = np.searchsorted(words.bounds, at, side="right") - 1
+    ok = at + n <= words.bounds[document + 1]
+    return grams[at[ok]], at[ok], document[ok]
+
+
+def _count_seeds(seeds_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = seeds_of()
-        counts = np.zeros(len(seeds.unique), np.int64)
+        by_size = seeds_of()
+        counts = {n: np.zeros(len(seeds.unique), np.int64) for n, seeds in by_size.items()}
         for batch in batches:
-            for lo, hi, data, offsets in kernel.chunks(batch.column(0)):
+            for _, _, data, offsets in kernel.chunks(batch.column(0)):
                 words = kernel.scan(data, offsets, letters_only=True)
-                grams = kernel.ngram_hashes(words.hashes, n)
-                at = seeds.find(grams)
-                document = np.searchsorted(words.bounds, at, side="right") - 1
-                at = at[at + n <= words.bounds[document + 1]]
-                np.add.at(counts, np.searchsorted(seeds.unique, grams[at]), 1)
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.unique[hit].astype(np.int64)), pa.array(counts[hit])], names=["gram", "n"])
+                for n, seeds in by_size.items():
+                    np.add.at(counts[n], np.searchsorted(seeds.unique, _found(words, seeds, n)[0]), 1)
+        for n, seeds in by_size.items():
+            hit = np.flatnonzero(counts[n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), n, np.int32)), pa.array(seeds.unique[hit].view(np.int64)), pa.array(counts[n][hit])], names=["size", "gram", "n"])
 
     return run
 
@@ -119,22 +124,19 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _search(seeds_of, n: int, least_score: float):
+def _search(seeds_of, least_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, items = seeds_of()
+        by_size, items = seeds_of()
         names = ["doc_id", "digest", "item", "score", "first_word", "last_word", "n_seeds"]
         for batch in batches:
             for lo, hi, data, offsets in kernel.chunks(batch.column(2)):
                 words = kernel.scan(data, offsets, letters_only=True)
-                grams = kernel.ngram_hashes(words.hashes, n)
-                at = seeds.find(grams)
-                document = np.searchsorted(words.bounds, at, side="right") - 1
-                ok = at + n <= words.bounds[document + 1]
                 hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-                for a, k in zip(at[ok].tolist(), document[ok].tolist(), strict=True):
-                    x, y = np.searchsorted(seeds.grams, grams[a], "left"), np.searchsorted(seeds.grams, grams[a], "right")
-                    for item, place in zip(seeds.items[x:y].tolist(), seeds.at[x:y].tolist(), strict=True):
-                        hits[k, item].add(a - place)  # where the item would begin
+                for n, seeds in by_size.items():
+                    for gram, a, k in zip(*(x.tolist() for x in _found(words, seeds, n)), strict=True):
+                        x, y = np.searchsorted(seeds.grams, np.uint64(gram), "left"), np.searchsorted(seeds.grams, np.uint64(gram), "right")
+                        for item, place in zip(seeds.items[x:y].tolist(), seeds.at[x:y].tolist(), strict=True):
+                            hits[k, item].add(a - place)  # where the item would begin
                 rows = []
                 for (k, item), begins in hits.items():
                     own = items[item]
@@ -173,48 +175,60 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     score is the local alignment's, divided by the item's own (1 for an exact copy); pairs from least_score up are given,
     one row a document and item, at the best alignment.  Words are compared without case (A-Z) and ASCII punctuation.
     Seeds have n words at most, fewer where the bound asks for it.  Items of one word, null and empty items match nothing, as do null and empty texts.  Rows with equal id and text, and equal items, give repeated rows.
-    Items are taken in batches of ITEM_BATCH, each broadcast, so any number of them can be searched.
+    Items are taken in batches of about ITEM_GRAMS n-grams, each broadcast, so any number of them can be searched; each batch
+    reads the documents twice.  Texts of any length count whole; an empty table gives an empty one.
     """
     spark = documents.sparkSession
     source = documents.select(documents[doc_id].alias("doc_id"), F.xxhash64(documents[text]).alias("digest"), documents[text].alias("text"))
     items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[item_text].alias("item"))
-    found: DataFrame | None = None
-    rows = items.where("item is not null").toLocalIterator()
-    while True:
-        batch = [r for _, r in zip(range(ITEM_BATCH), rows)]
-        if not batch and found is not None:
-            return found
-        made = _search_batch(spark, source, items, batch, least_score, n)
-        found = made if found is None else found.union(made)
-        if len(batch) < ITEM_BATCH:
-            return found
-
-
-def _search_batch(spark, source: DataFrame, items: DataFrame, batch: list, least_score: float, n: int) -> DataFrame:
-    hashes = _word_hashes([r["item"] for r in batch]) if batch else []
+    out = spark.createDataFrame([], f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest long, item_id {items.schema['item_id'].dataType.simpleString()}, score double, first_word long, last_word long, n_seeds long")
+    for batch in _item_batches(items.where("item is not null").toLocalIterator()):
+        out = out.union(_search_batch(spark, source, items, batch, least_score, n))
+    return out
+
+
+def _item_batches(rows: Iterator) -> Iterator[list[tuple[object, np.ndarray]]]:
+    """Ids and word hashes of items of two words or more, about ITEM_GRAMS words at once."""
+    held: list[tuple[object, np.ndarray]] = []
+    size = 0
+    while part := [r for _, r in zip(range(1024), rows, strict=False)]:
+        for r, own in zip(part, _word_hashes([r["item"] for r in part]), strict=True):
+            if len(own) >= 2:
+                held.append((r["item_id"], own))
+                size += len(own)
+        if size >= ITEM_GRAMS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _search_batch(spark, source: DataFrame, items: DataFrame, batch: list[tuple[object, np.ndarray]], least_score: float, n: int) -> DataFrame:
+    number: dict[bytes, int] = {}  # equal items are searched once
+    named = [(number.setdefault(own.tobytes(), len(number)), i) for i, own in batch]
+    hashes = [np.frombuffer(x, np.uint64) for x in number]
     parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)  # by n-gram length
     for k, own in enumerate(hashes):
-        if len(own) >= 2:
-            size = seed_bound(len(own), least_score, n)[0]
-            grams = kernel.ngram_hashes(own, size)
-            parts[size].append((grams, np.full(len(grams), k), np.arange(len(grams))))
-    out: DataFrame | None = None
-    ids = {k: r["item_id"] for k, r in enumerate(batch)}
+        size = seed_bound(len(own), least_score, n)[0]
+        grams = kernel.ngram_hashes(own, size)
+        parts[size].append((grams, np.full(len(grams), k), np.arange(len(grams))))
+    every = {size: Seeds(*(np.concatenate(x) for x in zip(*own, strict=True))) for size, own in sorted(parts.items())}
+    shared = spark.sparkContext.broadcast(every)
+    counted = source.select("text").mapInArrow(_count_seeds(lambda: shared.value), "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+    counts: dict[int, dict[int, int]] = defaultdict(dict)
+    for r in counted.toLocalIterator():  # one row an n-gram of the batch at most
+        counts[r["size"]][r["gram"]] = r["n"]
+    shared.destroy()
+    chosen = {}
     for size, own in sorted(parts.items()):
-        every = Seeds(*(np.concatenate(x) for x in zip(*own, strict=True)))
-        shared = spark.sparkContext.broadcast(every)
-        counted = source.select("text").mapInArrow(_count_seeds(lambda s=shared: s.value, size), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = {r["gram"]: r["n"] for r in counted.collect()}  # one row a benchmark n-gram at most
-        chosen = []
+        kept = []
         for grams, item, at in own:
-            seen = np.array([counts.get(int(g), 0) for g in grams.astype(np.int64)])
+            seen = np.array([counts[size].get(int(g), 0) for g in grams.view(np.int64)])
             least = seed_bound(len(hashes[item[0]]), least_score, n)[1]
             rare = np.lexsort((at, seen))[: len(grams) - least + 1]
-            chosen.append((grams[rare], item[rare], at[rare]))
-        seeds = spark.sparkContext.broadcast((Seeds(*(np.concatenate(x) for x in zip(*chosen, strict=True))), hashes))
-        made = source.mapInArrow(_search(lambda s=seeds: s.value, size, least_score), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest long, item long, score double, first_word long, last_word long, n_seeds long")
-        out = made if out is None else out.union(made)
-    named = spark.createDataFrame([(k, v) for k, v in ids.items()] or [(-1, None)], f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")
-    if out is None:
-        out = spark.createDataFrame([], f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest long, item long, score double, first_word long, last_word long, n_seeds long")
-    return out.join(F.broadcast(named), "item").select("doc_id", "digest", "item_id", "score", "first_word", "last_word", "n_seeds")
+            kept.append((grams[rare], item[rare], at[rare]))
+        chosen[size] = Seeds(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+    seeds = spark.sparkContext.broadcast((chosen, hashes))
+    found = source.mapInArrow(_search(lambda: seeds.value, least_score), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, digest long, item long, score double, first_word long, last_word long, n_seeds long")
+    names = spark.createDataFrame(named, f"item long, item_id {items.schema['item_id'].dataType.simpleString()}")  # ITEM_GRAMS rows at most
+    return found.join(F.broadcast(names), "item").select("doc_id", "digest", "item_id", "score", "first_word", "last_word", "n_seeds")

@@ -741,6 +741,55 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+
+    tokenizers = pytest.importorskip("tokenizers")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("labels", "benchmark"))
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = toxicity.train(docs, labels, common.crc_fold(F.col("doc_id"), 5) != 0)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    z = {i: sum(weight.get(x, 0.0) for x in features.tolist()) + model.bias for i, features in zip(rows, toxicity.document_features(pa.array([t.lower() for t in rows.values()])), strict=True)}
+    rows = {i: t for i, t in rows.items() if z[i] < 0}
+    cut = without_any_repeats(list(rows.items()), 50)
+    rows = {i: cut[i] for i in sorted(rows) if cut[i].strip() or not rows[i].strip()}
+    _, root = components_of(list(rows.values()), 5, 80)
+    rows = {i: t for k, (i, t) in enumerate(rows.items()) if root[k] == k}
+    benchmark = [w for w in decontaminate._word_hashes([r["text"] for r in items.collect()]) if len(w) >= 2]
+    held = zip(rows, decontaminate._word_hashes(list(rows.values())), strict=True)
+    leaks = {i for i, own in held if any(np.isin(item, own).mean() >= 0.6 and decontaminate.align(item, own)[0] >= 1.2 * len(item) - 1e-9 for item in benchmark)}
+    rows = {i: t for i, t in rows.items() if i not in leaks}
+    library = tokenizers.Tokenizer.from_file(queries._tokenizer_file())
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows.items()}
+    made = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in made} == want and len(made) == len(want) and leaks
+    assert all(r["n_tokens"] == len(want[r["doc_id"]]) and r["decoded_sha256"] == hashlib.sha256(library.decode(want[r["doc_id"]], skip_special_tokens=False).encode()).hexdigest() for r in made)
+
+
+def test_pipeline_stages_on_awkward_rows(spark, prose, tmp_path):
+    import corpus_pipeline
+
+    passage, item = prose(60), prose(14)
+    df = documents(spark, [prose(40), prose(40) + " " + item, prose(9) + "\n" + passage, prose(9) + "\n" + passage, prose(50) + " idiot"]).drop("runs")
+    spark.createDataFrame([(i, int(i == 4)) for i in range(5)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = df.count()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = common.written(stage(spark, df, str(tmp_path)), "stage")
+        left = Counter(r["doc_id"] for r in made.collect())
+        assert {None, 900, 901, 902, 0} <= set(left), name
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert made.columns == df.columns and made.where("score = 'own score'").count() == made.count()
+            df = made
+        if name == "line_dedup":
+            assert sum(left.values()) == before and {r["doc_id"] for r in made.collect() if r["text"] and passage in r["text"]} == {2}
+        if name == "jaccard_join":
+            assert left[0] == 1 and sum(left.values()) == before - 2
+        if name == "decontamination":
+            assert 1 not in left and sum(left.values()) == before - 3
+
+
 def test_near_copies_go_by_row(spark, prose):
     import corpus_pipeline
 
