@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from .basic import broadcast_if_small
 
 LEAST_SCORE = 2.2250738585072014e-308  # the smallest normal double: in effect, scores must exceed 0
@@ -58,13 +59,19 @@ def search_maps(df: DataFrame, query: Mapping[str, float], field_weights: Mappin
         raise ValueError("the query is empty")
     whole = F.lit(0.0)
     for field, weight in field_weights.items():
-        counts = F.col(field)
-        length = F.aggregate(F.map_values(counts), F.lit(0.0), lambda s, x: s + x)
-        own = F.lit(0.0)
-        for term, w in query.items():
-            tf = F.try_element_at(counts, F.lit(term)).cast("double")
-            own = own + F.coalesce(term_score(scorer, tf, F.lit(float(w)), length, k1, b, avgdl), F.lit(0.0))
-        whole = whole + F.coalesce(own, F.lit(0.0)) * float(weight)
+
+        def share(found: Column) -> Column:
+            own = F.lit(0.0)
+            for k, w in enumerate(query.values()):
+                own = own + F.coalesce(term_score(scorer, found["tf"][k], F.lit(float(w)), found["length"], k1, b, avgdl), F.lit(0.0))
+            return own
+
+        def looked_up(counts: Column) -> Column:
+            length = F.aggregate(F.map_values(counts), F.lit(0.0), lambda s, x: s + x)
+            return F.struct(length.alias("length"), F.array(*[F.try_element_at(counts, F.lit(t)).cast("double") for t in query]).alias("tf"))
+
+        # bound, so that neither the map nor the length is computed once a term where the optimizer merges projections
+        whole = whole + F.coalesce(bind(bind(F.col(field), looked_up), share), F.lit(0.0)) * float(weight)
     return df.withColumn("score", whole).where(F.col("score") >= min_score)
 
 
