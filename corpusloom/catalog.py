@@ -165,15 +165,15 @@ def avgdl(s: SparkSession, d: str) -> DataFrame:
 
 
 def base_stats(s: SparkSession, d: str) -> DataFrame:
-    return stats.tf_df_of_tokens(docs(s, d), "doc_id", X.tokens(F.col("text")), "lemmas")
+    return stats.tf_df_of_tokens(docs(s, d), X.tokens(F.col("text")), "lemmas")
 
 
 def both_stats(s: SparkSession, d: str) -> DataFrame:
-    return base_stats(s, d).union(stats.tf_df_of_tokens(docs(s, d), "doc_id", X.bigrams(X.tokens(F.col("text"))), "lemmas_bigrams"))
+    return base_stats(s, d).union(stats.tf_df_of_tokens(docs(s, d), X.bigrams(X.tokens(F.col("text"))), "lemmas_bigrams"))
 
 
 def subset_stats(s: SparkSession, d: str) -> DataFrame:
-    return stats.tf_df_of_tokens(basic.in_set(docs(s, d), "doc_id", good_ids(s, d)), "doc_id", X.tokens(F.col("text")), "lemmas")
+    return stats.tf_df_of_tokens(basic.in_set(docs(s, d), "doc_id", good_ids(s, d)), X.tokens(F.col("text")), "lemmas")
 
 
 @query("tf_df", f"WITH {POST}, {STAT} SELECT * FROM st")

@@ -84,7 +84,7 @@ def word_set_files(s: SparkSession, d: str) -> DataFrame:
 def frequency_files(s: SparkSession, d: str) -> DataFrame:
     """S12."""
     path = fresh(s, "freqs")
-    own = stats.tf_df_of_tokens(docs(s, d), "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), "lemmas")
+    own = stats.tf_df_of_tokens(docs(s, d), F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), "lemmas")
     writers.tsv_line(own.select(F.col("tf").cast("long"), "term")).write.text(path)
     return readers.frequencies(s, path)
 

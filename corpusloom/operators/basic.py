@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hinted to be broadcast if it has no more rows than that, looked at without reading more; else left to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About the size of a row: texts by their bytes, lists by their elements, 8 for all else."""
+    width = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+        own = F.octet_length(c) + 8 if kind in ("string", "binary") else F.size(c) * 16 + 8 if kind in ("array", "map") else F.lit(8)
+        width = width + F.coalesce(own, F.lit(8))
+    return width
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hinted to be broadcast if it has no more rows and bytes than that, looked at without reading more; else left to a
+    shuffle."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= rows and seen["b"] <= size else df
 
 
 # --- projections --------------------------------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def term_counts(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """key, term, tf: a document's terms and how often it has them."""
@@ -24,9 +26,10 @@ def tf_df(df: DataFrame, field_weights: Mapping[str, float], suffix: str = "_cou
     return out
 
 
-def tf_df_of_tokens(df: DataFrame, key: str, tokens: Column, field: str, weight: float = 1.0) -> DataFrame:
-    """[A4] the same from token lists, without building maps."""
-    return term_counts(df, key, tokens).groupBy("term").agg((F.sum("tf") * float(weight)).alias("tf"), F.count("*").alias("df")).select(F.lit(field).alias("field"), "term", "tf", "df")
+def tf_df_of_tokens(df: DataFrame, tokens: Column, field: str, weight: float = 1.0) -> DataFrame:
+    """[A4] the same from token lists; a row is a document, counted before its terms are shuffled."""
+    terms = df.select(F.explode(X.counts(tokens)).alias("term", "n"))
+    return terms.groupBy("term").agg((F.sum("n") * float(weight)).alias("tf"), F.count("*").alias("df")).select(F.lit(field).alias("field"), "term", "tf", "df")
 
 
 def merge(parts: Sequence[DataFrame], across_fields: bool = False, fields: Sequence[str] | None = None) -> DataFrame:

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from ..functions.text import bind
 from ..session import shared_folder
+from .basic import broadcast_if_small
 
 BLOCK = 2048
+CENTROIDS = 10_000  # that are broadcast
 
 
 def normalized(vectors: DataFrame) -> DataFrame:
@@ -201,19 +203,26 @@ def centroids(members: DataFrame) -> DataFrame:
 
 def centroid_statistics(members: DataFrame) -> DataFrame:
     """[A15] list, n, max and mean angular distance to the centroid, their population deviation, percentage within one of it."""
-    far = members.join(F.broadcast(centroids(members)), "list").select("list", V.angular(V.dot(F.col("vec"), F.col("centroid"))).alias("d"))
+    far = members.join(broadcast_if_small(centroids(members), CENTROIDS), "list").select("list", V.angular(V.dot(F.col("vec"), F.col("centroid"))).alias("d"))
     stats = far.groupBy("list").agg(F.count("*").alias("n"), F.max("d").alias("max_distance"), F.avg("d").alias("mean_distance"), F.stddev_pop("d").alias("std_distance"))
     inside = F.abs(F.col("d") - F.col("mean_distance")) < F.col("std_distance")
-    share = far.join(F.broadcast(stats.select("list", "mean_distance", "std_distance")), "list").groupBy("list").agg((F.count_if(inside) * 100.0 / F.count("*")).alias("within_std"))
+    share = far.join(broadcast_if_small(stats.select("list", "mean_distance", "std_distance")), "list").groupBy("list").agg((F.count_if(inside) * 100.0 / F.count("*")).alias("within_std"))
     return stats.join(share, "list")
 
 
 def nearest_centroid(members: DataFrame) -> DataFrame:
     """[A16] list, idx, assigned: the list with the nearest centroid, ties to the first name.
 
-    The centroids (one a word list) are gathered into one row that is broadcast.
+    CENTROIDS of them at most are gathered into one row that is broadcast; more are compared block by block.
     """
-    table = centroids(members).agg(F.sort_array(F.collect_list(F.struct("list", "centroid"))).alias("all"))
+    own = centroids(members)
+    if own.count() > CENTROIDS:
+        named = own.select(F.col("list").alias("assigned"), F.col("centroid").alias("vec")).withColumn("idx", F.dense_rank().over(W.orderBy("assigned")).cast("long"))
+        shared_folder(members.sparkSession)
+        named = named.checkpoint()
+        best = nearest(named.select("idx", "vec"), members.select("idx", "vec"), 1).select(F.col("src").alias("idx"), F.col("dst").alias("_c"))
+        return members.join(best, "idx").join(named.select(F.col("idx").alias("_c"), "assigned"), "_c").select("list", "idx", "assigned")
+    table = own.agg(F.sort_array(F.collect_list(F.struct("list", "centroid"))).alias("all"))
     score = bind(F.col("vec"), lambda v: F.transform("all", lambda c: F.struct(V.angular(V.dot(v, c["centroid"])).alias("d"), c["list"].alias("list"))))
     return members.crossJoin(F.broadcast(table)).select("list", "idx", F.array_min(score)["list"].alias("assigned"))  # one row
 

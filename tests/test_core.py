@@ -435,3 +435,18 @@ def test_command_line(spark, tmp_path):
     assert [x.split("\t")[0] for x in lines("selected")] == ["fire"] and [x.split("\t")[0] for x in lines("every")] == ["fire", "x1"]
     assert rows(spark.read.parquet(at("filtered")).select("term")) == [("fire",)] and rows(spark.read.parquet(at("joined")).where("term = 'fire'").select("tf")) == [(7.0,)]
     assert lines("tsv") == ["u\t"]
+
+
+def test_centroids_beyond_the_broadcast_bound(spark, circle, monkeypatch):
+    lists = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "c"), ("q", "d"), ("r", "a")], "list string, word string")
+    members = circle.join(lists, "word")
+    want = rows(vectors.nearest_centroid(members))
+    monkeypatch.setattr(vectors, "CENTROIDS", 2)
+    assert rows(vectors.nearest_centroid(members)) == want and len(want) == 5
+
+
+def test_broadcasts_are_bounded(spark):
+    df = spark.createDataFrame([("é" * 100, [1, 2])] * 5, "t string, v array<int>")
+    assert df.select(basic.row_bytes(df)).first()[0] == 200 + 8 + 40
+    hinted = lambda **how: "ResolvedHint" in basic.broadcast_if_small(df, **how)._jdf.queryExecution().analyzed().toString()
+    assert hinted() and not hinted(rows=4) and not hinted(size=1000)
