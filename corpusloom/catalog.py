@@ -584,7 +584,11 @@ def conll_to_text(s: SparkSession, d: str) -> DataFrame:
     return sentences(s, d).select("doc_id", F.md5(X.conll_text(F.col("sentences"), "word").cast("binary")).alias("tokens"))
 
 
-@query("annotate")
+_MARKS = "('.', '!', '?')"
+_ANNOTATED = rf"WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM documents), t AS (SELECT doc_id, regexp_extract_all(line, '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:[''’\-][\p{{L}}\p{{Nl}}\p{{No}}]+)*|\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]') AS t FROM l) SELECT doc_id, sum(len(list_filter(t, lambda x: x IN {_MARKS})) + CASE WHEN len(t) > 0 AND t[-1] NOT IN {_MARKS} THEN 1 ELSE 0 END)::INTEGER AS n_sentences, sum(len(t))::INTEGER AS n_tokens FROM t GROUP BY doc_id"
+
+
+@query("annotate", _ANNOTATED)
 def annotated(s: SparkSession, d: str) -> DataFrame:
     """The built-in annotator."""
     made = annotate.annotate(docs(s, d).select("doc_id", "text"), ["text"])

@@ -519,17 +519,19 @@ def base_points(counts: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
     return np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
 
-_SENT = "block long, shard int, kept binary, words binary, pairs binary"
+_SENT = "block long, shard int, kept binary, body binary"
 _ANSWER = "block long, kept binary, sums binary"
 
 
-def _local(model: PairModel, vocab: np.ndarray, code: np.ndarray, ask: np.ndarray, f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 deltas of the pairs that are settled where the texts are, and whether each must be asked for."""
+def _local(model: PairModel, vocab: np.ndarray, code: np.ndarray, ask: np.ndarray, f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 deltas of the pairs that are settled where the texts are, whether each must be asked for, and whether what its
+    first word leaves must be."""
     hot, (keys, deltas) = len(model.hot), model.frequent
     a, b = code[f], code[s]
     value = np.where(a >= 0, model.hot_left[a], 0.0)  # of pairs that the model lacks
     go = (a >= 0) | ask[f]
-    go[go] = ((a[go] < 0) | maybe_known(model.filter, pair_hash(vocab[f[go]], vocab[s[go]])))
+    go[go] = maybe_known(model.filter, pair_hash(vocab[f[go]], vocab[s[go]]))
+    left = (a < 0) & ask[f] & ~go
     if len(keys):
         both = np.flatnonzero(go & (a >= 0) & (b >= 0))
         key = a[both] * np.int64(hot) + b[both]
@@ -538,11 +540,15 @@ def _local(model: PairModel, vocab: np.ndarray, code: np.ndarray, ask: np.ndarra
         value[both[hit]] = deltas[at[hit]]
         go[both[hit]] = False
     value[go] = 0.0
-    return value, go
+    return value, go, left
 
 
 def _send(model_of: Callable):
-    """Of each batch: a row with its kept columns and sums over hot words; a row a shard with other words, and one with pairs."""
+    """Of each batch: a row with its kept columns and the sums that are settled here, and a row a shard with the rest.
+
+    The latter holds cold words; of those that are asked for their places, number of texts, texts, times, and times before a
+    pair that the model lacks; of pairs their codes, number of texts, texts and times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: PairModel = model_of()
@@ -559,23 +565,14 @@ def _send(model_of: Callable):
             sums = [np.bincount(document, minlength=size).astype(float)]
             ask = (code < 0) & maybe_known(model.filter, vocab)  # other cold words are not in the model
             sums += [np.bincount(document, np.where(code >= 0, x, np.where(ask, 0.0, y))[second], minlength=size) for x, y in ((seen, 0.0), (base_points(counts[code], tokens, distinct), base_points(0, tokens, distinct)), (points[code], model.unseen))]
-            block = (part << 24) + number
             sink = pa.BufferOutputStream()
             kept = batch.select(batch.schema.names[:-1])
             with pa.ipc.new_stream(sink, kept.schema) as stream:
                 stream.write_batch(kept)
             kept = sink.getvalue().to_pybytes()
-            rows = []
             far = ask[second]
-            key, tf = np.unique(second[far] * np.int64(size) + document[far], return_counts=True)
+            word_key, word_tf = np.unique(second[far] * np.int64(size) + document[far], return_counts=True)
             del batch, sink, far
-            word, doc = key // size, key % size
-            home = (vocab[word] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(home, kind="stable")
-            for s, own in slices(home[order]):
-                at = order[own]
-                words, per_word = np.unique(word[at], return_counts=True)
-                rows.append((block, s, None, pack(vocab[words], per_word, doc[at], tf[at]), None))
             key = place[:-1] * np.int64(len(vocab)) + second
             order = np.argsort(key, kind="stable")  # documents stay in order
             key, doc = key[order], document[order]
@@ -585,23 +582,32 @@ def _send(model_of: Callable):
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             per_pair, key = np.diff(np.append(begins, len(key))), key[begins]
             f, s = key // len(vocab), key % len(vocab)
-            value, go = _local(model, vocab, code, ask, f, s)
+            value, go, left = _local(model, vocab, code, ask, f, s)
             of = np.repeat(np.arange(len(f)), per_pair)
             sums[3] += np.bincount(doc, tf * value[of], minlength=size)
-            rows.append((block, block % shards, kept, pack(*sums), None))
+            lone = left[of]  # the first word is one of the text's asked words, too
+            word_left = np.bincount(np.searchsorted(word_key, f[of[lone]] * np.int64(size) + doc[lone]), tf[lone], minlength=len(word_key)).astype(np.int64)
             of = go[of]
             doc, tf = doc[of], tf[of]
             f, s, per_pair = f[go], s[go], per_pair[go]
-            shard = _shard_of(vocab, code, f, s, shards)
-            order = np.argsort(shard, kind="stable")
+            block = (part << 24) + number
+            rows = [(block, block % shards, kept, pack(*sums))]
+            word, word_doc = word_key // size, (word_key % size).astype(np.int32)
+            home, shard = (vocab[word] % np.uint64(shards)).astype(np.int64), _shard_of(vocab, code, f, s, shards)
+            by_home, by_shard = np.argsort(home, kind="stable"), np.argsort(shard, kind="stable")
             entries = np.argsort(np.repeat(shard, per_pair), kind="stable")
-            ends = np.cumsum(per_pair[order])
-            for k, own in slices(shard[order]):
-                at = order[own]
-                mine = entries[ends[own.start] - per_pair[at[0]] : ends[own.stop - 1]]
-                rows.append((block, k, None, None, pack(*_coded(vocab, code, f[at], s[at], len(hot)), per_pair[at], doc[mine], tf[mine])))
+            ends = np.append(0, np.cumsum(per_pair[by_shard]))
+            word_edges, pair_edges = (np.searchsorted(x, np.arange(shards + 1)) for x in (home[by_home], shard[by_shard]))
+            for k in np.flatnonzero((np.diff(word_edges) > 0) | (np.diff(pair_edges) > 0)).tolist():
+                w, p = by_home[word_edges[k] : word_edges[k + 1]], by_shard[pair_edges[k] : pair_edges[k + 1]]
+                mine = entries[ends[pair_edges[k]] : ends[pair_edges[k + 1]]]
+                asked, per_word = np.unique(word[w], return_counts=True)
+                cold, codes_f, codes_s = _coded(vocab, code, np.concatenate([asked, f[p]]), np.concatenate([asked, s[p]]), len(hot))
+                n = len(asked)
+                body = pack(cold, codes_f[:n] - len(hot), per_word, word_doc[w], word_tf[w], word_left[w], codes_f[n:], codes_s[n:], per_pair[p], doc[mine], tf[mine])
+                rows.append((block, k, None, body))
             made = _rows(rows, _SENT)
-            del rows, key, doc, tf, f, s, entries
+            del rows, key, doc, tf, f, s, entries, word_key, word, word_doc, word_tf, word_left, by_home, by_shard
             kernel.give_back()
             yield made
 
@@ -611,7 +617,7 @@ def _send(model_of: Callable):
 def _answer(model_of: Callable):
     def run(sent: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         model: PairModel = model_of()
-        hot, n_hot = model.hot, len(model.hot)
+        n_hot = len(model.hot)
         none = np.zeros(0)
         hashes, counts, points = none.astype(np.uint64), none.astype(np.int64), none
         for r in own[own["what"] == 0].itertuples():
@@ -627,33 +633,32 @@ def _answer(model_of: Callable):
         out = []
         for r in sent.itertuples():
             if r.kept is not None:
-                out.append((r.block, r.kept, r.words))
-            elif r.pairs is None:
-                words, per_word, doc, tf = unpack(r.words)
-                words = words.astype(np.uint64)
-                c, score = np.zeros(len(words)), np.full(len(words), model.unseen)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
-                    hit = hashes[at] == words
-                    c[hit], score[hit] = counts[at[hit]], points[at[hit]]
-                word = np.repeat(np.arange(len(words)), per_word)
-                seen, inverse = np.unique(doc, return_inverse=True)
-                out.append((r.block, None, pack(seen, *(np.bincount(inverse, tf * x[word]) for x in ((c > 0).astype(float), base_points(c, model.tokens, model.distinct), score)))))
-            else:
-                theirs, f, s, per_pair, doc, tf = unpack(r.pairs)
-                theirs = theirs.astype(np.uint64)
-                at = np.minimum(np.searchsorted(cold, theirs), len(cold) - 1) if len(cold) else np.zeros(len(theirs), np.int64)
-                to = np.concatenate([np.arange(n_hot), np.where(cold[at] == theirs, n_hot + at, -1) if len(cold) else np.full(len(theirs), -1)])
-                f, s = to[f], to[s]
-                value = np.where(f >= 0, left[f], 0.0)
-                known = np.flatnonzero((f >= 0) & (s >= 0))
-                if len(keys) and len(known):
-                    key = f[known] * np.int64(width) + s[known]
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[at] == key
-                    value[known[hit]] = deltas[at[hit]]
-                seen, inverse = np.unique(doc, return_inverse=True)
-                out.append((r.block, None, pack(seen, np.bincount(inverse, tf * np.repeat(value, per_pair)))))
+                out.append((r.block, r.kept, r.body))
+                continue
+            theirs, word, per_word, word_doc, word_tf, word_left, f, s, per_pair, doc, tf = unpack(r.body)
+            theirs = theirs.astype(np.uint64)
+            at = np.minimum(np.searchsorted(cold, theirs), len(cold) - 1) if len(cold) else np.zeros(len(theirs), np.int64)
+            to = np.concatenate([np.arange(n_hot), np.where(cold[at] == theirs, n_hot + at, -1) if len(cold) else np.full(len(theirs), -1)])
+            c, score = np.zeros(len(word)), np.full(len(word), model.unseen)
+            if len(hashes) and len(word):
+                at = np.minimum(np.searchsorted(hashes, theirs[word]), len(hashes) - 1)
+                hit = hashes[at] == theirs[word]
+                c[hit], score[hit] = counts[at[hit]], points[at[hit]]
+            context = to[n_hot + word]
+            lone = np.where(context >= 0, left[context], 0.0)
+            f, s = to[f], to[s]
+            value = np.where(f >= 0, left[f], 0.0)
+            known = np.flatnonzero((f >= 0) & (s >= 0))
+            if len(keys) and len(known):
+                key = f[known] * np.int64(width) + s[known]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                value[known[hit]] = deltas[at[hit]]
+            of = np.repeat(np.arange(len(word)), per_word)
+            seen, inverse = np.unique(np.concatenate([word_doc, doc]), return_inverse=True)
+            by_word = lambda x, i=inverse[: len(word_doc)], n=len(seen): np.bincount(i, x, minlength=n)
+            total = by_word(word_tf * score[of] + word_left * lone[of]) + np.bincount(inverse[len(word_doc) :], tf * np.repeat(value, per_pair), minlength=len(seen))
+            out.append((r.block, None, pack(seen, by_word(word_tf * (c > 0)[of]), by_word(word_tf * base_points(c, model.tokens, model.distinct)[of]), total)))
         kernel.give_back()
         return pd.DataFrame(out, columns=["block", "kept", "sums"])
 
@@ -671,7 +676,7 @@ def _finish(rows: pa.Table) -> pa.Table:
     for own, sums in zip(rows["kept"].to_pylist(), rows["sums"].to_pylist(), strict=True):
         if own is None:
             doc, *columns = unpack(sums)
-            total[4 - len(columns) :, doc] += np.stack(columns)
+            total[1:, doc] += np.stack(columns)
     n, known, base, score = total
     made = (n.astype(np.int64), known.round().astype(np.int64), base, score)
     return pa.Table.from_arrays([*kept.columns, *map(pa.array, made)], names=[*kept.schema.names, *_SUMS])
