@@ -104,11 +104,6 @@ def shards_for(texts: DataFrame) -> int:
     return max(8, -(-int(total) // SHARD_BYTES))
 
 
-def dealt(df: DataFrame, shards: int, key: str = "shard"):
-    """df grouped by shard, a task a shard: so a task's share does not grow with the texts."""
-    return df.repartition(shards, key).groupBy(key)
-
-
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in kernel.gathered(batches, GATHERED):
         line, _ = batch_line(batch.column(0))
@@ -177,7 +172,7 @@ def _merge_words(rows: pd.DataFrame) -> pd.DataFrame:
 
 def count_words(texts: DataFrame, shards: int, spelled: bool) -> DataFrame:
     """A WORDS table, one row a shard, with the words' bytes where spelled is set."""
-    made = written(dealt(texts.mapInArrow(_count_words(shards, spelled), WORDS), shards).applyInPandas(_merge_words, WORDS), "words")
+    made = written(texts.mapInArrow(_count_words(shards, spelled), WORDS).groupBy("shard").applyInPandas(_merge_words, WORDS), "words")
     forget_shuffles(texts.sparkSession)
     return made
 
@@ -274,7 +269,7 @@ def _merge_pairs(hot: int):
 
 def count_pairs(texts: DataFrame, shards: int, hot_of: Callable, hot: int) -> DataFrame:
     """A PAIRS table, one row a shard: cold words, codes of the first and second words in order, counts."""
-    made = written(dealt(texts.mapInArrow(_count_pairs(shards, hot_of), PAIRS), shards).applyInPandas(_merge_pairs(hot), PAIRS), "pairs")
+    made = written(texts.mapInArrow(_count_pairs(shards, hot_of), PAIRS).groupBy("shard").applyInPandas(_merge_pairs(hot), PAIRS), "pairs")
     forget_shuffles(texts.sparkSession)
     return made
 
@@ -367,9 +362,9 @@ def _points_of(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [s for s, _ in (own, *notes)], "hashes": [pack(w) for _, w in (own, *notes)], "points": [pack(points[np.searchsorted(hashes, w)]) for _, w in (own, *notes)]})
 
 
-def points_for_pairs(model: DataFrame, notes: DataFrame, shards: int) -> DataFrame:
+def points_for_pairs(model: DataFrame, notes: DataFrame) -> DataFrame:
     """A POINTS table: each shard's own words, and the cold words of other shards that its pairs need."""
-    return dealt(model.select("shard", "hashes", "points"), shards).cogroup(dealt(notes.where(f"kind = {ASKED}"), shards)).applyInPandas(_points_of, POINTS)
+    return model.select("shard", "hashes", "points").groupBy("shard").cogroup(notes.where(f"kind = {ASKED}").groupBy("shard")).applyInPandas(_points_of, POINTS)
 
 
 def second_points(cold: np.ndarray, second: np.ndarray, hot_points: np.ndarray, rows) -> np.ndarray:
@@ -693,8 +688,8 @@ def score(documents: DataFrame, model: PairModel, text: str) -> DataFrame:
     sent = source.mapInArrow(_send(lambda: small.value), _SENT)
     none = F.lit(None).cast("binary")
     part = lambda df, what, *columns: df.select("shard", F.lit(what).alias("what"), *(F.col(c).alias(x) for c, x in zip(columns, "abc", strict=False)), *(none.alias(x) for x in "abc"[len(columns) :]))
-    own = part(model.words, 0, "hashes", "counts", "points").union(part(model.pairs, 1, "pairs")).union(part(points_for_pairs(model.words, model.notes, model.shards), 3, "hashes", "points"))
+    own = part(model.words, 0, "hashes", "counts", "points").union(part(model.pairs, 1, "pairs")).union(part(points_for_pairs(model.words, model.notes), 3, "hashes", "points"))
     own = own.union(part(model.notes.where(f"kind = {STATE}"), 2, "note"))
-    answered = dealt(sent, model.shards).cogroup(dealt(own, model.shards)).applyInPandas(_answer(lambda: whole.value), _ANSWER)
+    answered = sent.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(_answer(lambda: whole.value), _ANSWER)
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return answered.groupBy("block").applyInArrow(_finish, schema)
