@@ -273,9 +273,9 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     placed = shared.join(group.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     placed = written(placed.join(open_tokens, "token", "left_semi").select("token", "cls", "n", "at", "component"), "placed")
-    counts = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("cls") / BLOCK_MEMBERS).cast("long").alias("blocks")).where("blocks > 1")
-    counts = written(counts, "blocks")  # of large components only, so that these are not dealt to one task each
-    member = placed.join(_broadcast_if_small(counts), "component", "left").withColumn("part", F.pmod(F.xxhash64("cls"), F.coalesce("blocks", F.lit(1).cast("long"))))
+    counts = placed.groupBy("component").agg(F.ceil(F.approx_count_distinct("cls") / BLOCK_MEMBERS).cast("long").alias("blocks"))
+    counts = written(counts, "blocks")  # broadcast if few, so that a large component is not dealt to one task
+    member = placed.join(_broadcast_if_small(counts), "component").withColumn("part", F.pmod(F.xxhash64("cls"), F.greatest("blocks", F.lit(1))))
     bands = F.floor(F.log(F.col("n").cast("double")) / -np.log(percent / 100)).cast("int")
     cells = member.groupBy("token", "component", "part", bands.alias("own")).agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("at")).alias("rest"))
     cells = cells.withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1))).drop("own")
