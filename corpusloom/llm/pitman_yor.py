@@ -11,8 +11,9 @@ Seating is sampled by Gibbs: a customer picked at random leaves its table and is
 proportion to that table's customers less the discount, or at a new one.  Tables are kept from sweep to sweep.  A
 restaurant's dishes depend on each other only by its number of tables T; given a number g from a gamma distribution of shape
 strength / discount + T they are independent, a new table of a dish weighing discount * g * parent's probability, so dishes
-of one restaurant can be seated in different places.  A sweep gives each dish MOVES such moves, takes the parents'
-probabilities as the last sweep left them, and all its random numbers follow from word hashes, not from where it runs.
+of one restaurant can be seated in different places.  A sweep gives each dish as many such moves as it has customers, takes
+the parents' probabilities as the last sweep left them, and all its random numbers follow from word hashes, not from where
+it runs.
 Predictive probabilities are averaged over the sweeps after burn-in.
 
 Words and pairs are counted, kept and joined with the texts as `pairs` has it; sweeps over words move nothing but counts of
@@ -36,7 +37,8 @@ from .common import discard, forget_shuffles, written
 SWEEPS, BURN_IN = 3, 1
 ROUNDS = 2  # of seating words, then pairs
 DRAWS = 3  # of a pair's tables, averaged, in the last round
-MOVES = 6  # of each dish in a sweep
+CELLS = 1 << 16  # sizes of tables that move side by side, about
+RENEWED = 32  # turns after which a dish's largest table is looked up anew
 STRENGTH = 1.0
 
 
@@ -84,43 +86,41 @@ class Seating:
         sizes[old] = self.sizes[place[old]]
         return Seating(sizes, bounds).fitted(customers)
 
-    def sweep(self, new: np.ndarray, discount: float, keys: np.ndarray, salt: int, moves: int = MOVES) -> Seating:
-        """Each dish's moves, given the weight of a new table; keys give the dishes' random numbers."""
-        customers = self.customers()
+    def sweep(self, new: np.ndarray, discount: float, keys: np.ndarray, salt: int) -> Seating:
+        """As many moves of each dish as it has customers, given the weight of a new table; keys give its random numbers."""
+        customers, tables = self.customers(), self.tables
         live = np.flatnonzero(customers > 1)
-        if not len(live):
-            return self
-        tables, n, weight, key = self.tables[live], customers[live], new[live], keys[live]
-        place = np.arange(tables.sum()) - np.repeat(np.cumsum(tables) - tables - self.bounds[live], tables)
-        sizes, owner = self.sizes[place], np.repeat(np.arange(len(live)), tables)
-        for move in range(moves):
-            last = np.cumsum(tables)
-            ends = np.cumsum(sizes)
-            out = np.searchsorted(ends, ends[last - 1] - n + (P.uniform(key, salt, move, 0) * n).astype(np.int64), side="right")
-            sizes[out] -= 1
-            mass = np.cumsum(np.where(sizes > 0, sizes - discount, 0.0))
-            before = np.append(0.0, mass)[last - tables]
-            held = mass[last - 1] - before
-            v = P.uniform(key, salt, move, 1) * (held + weight)
-            opens = v >= held
-            join = np.clip(np.searchsorted(mass, before + v, side="right"), last - tables, last - 1)
-            wrong = ~opens & (sizes[join] == 0)  # rounding at a table's edge: the table just before or after it
-            join[wrong] = np.where(join[wrong] > (last - tables)[wrong], join[wrong] - 1, np.minimum(join[wrong] + 1, last[wrong] - 1))
-            sizes[join[~opens]] += 1
-            full = sizes > 0
-            sizes, owner = np.concatenate([sizes[full], np.ones(opens.sum(), np.int64)]), np.concatenate([owner[full], np.flatnonzero(opens)])
-            order = np.argsort(owner, kind="stable")
-            sizes, owner = sizes[order], owner[order]
-            tables = np.bincount(owner, minlength=len(live))
-        every = self.tables.copy()
-        every[live] = tables
+        at = np.repeat(self.bounds[live] - np.cumsum(tables[live]) + tables[live], tables[live]) + np.arange(tables[live].sum())
+        owner, sizes = np.repeat(live, tables[live]), self.sizes[at]
+        order = np.lexsort((-sizes, owner))
+        owner, sizes = owner[order], sizes[order]
+        main = np.append(True, owner[1:] != owner[:-1])[: len(owner)]
+        main_sizes, owner, sizes = sizes[main], owner[~main], sizes[~main]
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (sizes[1:] != sizes[:-1]))[: len(owner)])
+        counts, owner, sizes = np.diff(np.append(first, len(owner))), owner[first], sizes[first]
+        kinds = np.bincount(np.searchsorted(live, owner), minlength=len(live))  # distinct sizes beside the main table's
+        starts = np.cumsum(kinds) - kinds
+        scale = np.frexp(customers[live])[1]
+        order = np.lexsort((kinds, scale))
+        scale = scale[order]
+        made, every, a = [], tables.copy(), 0
+        while a < len(live):  # dishes alike in customers and kinds move side by side
+            b = int(np.searchsorted(scale, scale[a], side="right"))
+            b = max(a + 1, a + int(np.searchsorted((kinds[order[a:b]] + 2) * np.arange(1, b - a + 1), CELLS, side="right")))
+            own, a = order[a:b], b
+            width = kinds[own[-1]] + 2
+            held = np.arange(width) < kinds[own, None]
+            place = (starts[own, None] + np.arange(width))[held]
+            size, count = np.zeros(held.shape, np.int64), np.zeros(held.shape, np.int64)
+            size[held], count[held] = sizes[place], counts[place]
+            own_main, size, count = _reseated(main_sizes[own], size, count, customers[live[own]], new[live[own]], keys[live[own]], discount, salt)
+            count, size = np.column_stack([own_main > 0, count]), np.column_stack([own_main, size])
+            every[live[own]] = count.sum(axis=1)
+            made.append((live[own], np.repeat(size.ravel(), count.ravel())))
         bounds = np.append(0, np.cumsum(every))
-        moved = np.zeros(len(every), bool)
-        moved[live] = True
-        out = np.ones(bounds[-1], np.int64)
-        new_place = np.repeat(moved, every)
-        out[new_place] = sizes
-        out[~new_place] = self.sizes[np.repeat(~moved, self.tables)]
+        out = np.ones(bounds[-1], np.int64)  # the dishes not moved have a single customer
+        for own, sizes in made:
+            out[np.arange(len(sizes)) + np.repeat(bounds[own] - np.cumsum(every[own]) + every[own], every[own])] = sizes
         return Seating(out, bounds)
 
     def packed(self) -> bytes:
@@ -132,6 +132,87 @@ class Seating:
         return cls(sizes.astype(np.int64), np.append(0, np.cumsum(tables)))
 
 
+def _add(size: np.ndarray, count: np.ndarray, rows: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A table of a new size in each of the rows; columns are added where one is full."""
+    if not len(rows):
+        return size, count
+    own = count[rows]
+    same = (size[rows] == new[:, None]) & (own > 0)
+    free = own == 0
+    column = np.where(same.any(axis=1), same.argmax(axis=1), free.argmax(axis=1))
+    if not (same | free)[np.arange(len(rows)), column].all():
+        more = ((0, 0), (0, 2 + size.shape[1] // 4))
+        return _add(np.pad(size, more), np.pad(count, more), rows, new)
+    size[rows, column] = new
+    count[rows, column] += 1
+    return size, count
+
+
+def _reseated(main: np.ndarray, size: np.ndarray, count: np.ndarray, n: np.ndarray, new: np.ndarray, key: np.ndarray, discount: float, salt: int) -> tuple[np.ndarray, ...]:
+    """main, size and count after n moves of each row, n its customers: a main table, and how many others have which size.
+
+    A move takes one of the n customers at random out and seats it by the others.  Most of a large dish's moves go from its
+    main table back to it: how many such ones come before the next other move is drawn at once, so that all moves are made,
+    but only those that may change something one by one.
+    """
+    done_main, done_size, done_count = main.copy(), np.zeros_like(size), np.zeros_like(count)
+    at, left, others, turn = np.arange(len(n)), n.copy(), count.sum(axis=1), 0
+    n = n.astype(float)
+    while True:
+        done = left <= 0
+        if done.sum() * 4 >= len(done):
+            if size.shape[1] > done_size.shape[1]:
+                done_size, done_count = (np.pad(x, ((0, 0), (0, size.shape[1] - x.shape[1]))) for x in (done_size, done_count))
+            done_main[at[done]] = main[done]
+            done_size[at[done], : size.shape[1]], done_count[at[done], : size.shape[1]] = size[done], count[done]
+            main, size, count, n, new, key, at, left, others = (x[~done] for x in (main, size, count, n, new, key, at, left, others))
+            if not len(at):
+                return done_main, done_size, done_count
+        if turn % RENEWED == RENEWED - 1:  # the largest table becomes the main one
+            largest = np.where(count > 0, size, 0)
+            column = largest.argmax(axis=1)
+            rows = np.flatnonzero(largest.max(axis=1) > main)
+            count[rows, column[rows]] -= 1
+            old, main[rows] = main[rows], size[rows, column[rows]]
+            others[rows[old == 0]] -= 1
+            size, count = _add(size, count, rows[old > 0], old[old > 0])
+        rest = n - main
+        back = np.where(main > 1, main - 1 - discount, 0.0)
+        away = rest - discount * others + new
+        main_leaves = main / n * (away / (away + back))
+        change = np.minimum(main_leaves + rest / n, 1.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            idle = np.log1p(-P.uniform(key, salt, turn, 0)) / np.log1p(-change)
+        idle = np.where(change > 0, np.minimum(np.floor(idle), left), left)
+        left = left - idle.astype(np.int64) - 1
+        go = left >= 0  # else the moves end before the next change
+        v = P.uniform(key, salt, turn, 1) * change
+        from_main = (v < main_leaves) | (rest == 0)
+        main = main - (go & from_main)
+        rows = np.flatnonzero(go & ~from_main)
+        if len(rows):
+            pick = np.minimum(np.floor((v[rows] - main_leaves[rows]) * n[rows]), rest[rows] - 1)
+            column = (np.cumsum(size[rows] * count[rows], axis=1) <= pick[:, None]).sum(axis=1)
+            fewer = size[rows, column] - 1
+            count[rows, column] -= 1
+            others[rows] -= fewer == 0
+            size, count = _add(size, count, rows[fewer > 0], fewer[fewer > 0])
+        mass = np.cumsum((size - discount) * count, axis=1)
+        held = mass[:, -1] + np.where(from_main | (main == 0), 0.0, main - discount)
+        v = P.uniform(key, salt, turn, 2) * (held + new)
+        small = v < mass[:, -1]
+        opens = ~small & (v >= held)
+        main = main + (go & ~small & ~opens)
+        rows = np.flatnonzero(go & (small | opens))
+        if len(rows):
+            joins = small[rows]
+            column = np.where(joins, (mass[rows] <= v[rows, None]).sum(axis=1), 0)
+            count[rows, column] -= joins
+            others[rows] += ~joins
+            size, count = _add(size, count, rows, np.where(joins, size[rows, column], 0) + 1)
+        turn += 1
+
+
 def gammas(shape: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
     """Gamma draws of shapes above 0, by Marsaglia and Tsang; random numbers follow from the keys."""
     out = np.zeros(len(shape))

@@ -469,6 +469,25 @@ def test_seating_counts():
     assert (pitman_yor.Seating.unpacked(carried.packed()).sizes == carried.sizes).all()
 
 
+def test_a_sweep_moves_as_many_customers_as_there_are():
+    n, new, discount, dishes = 60, 30.0, 0.7, 500
+    ways = np.array(stirling(n, discount)[: n + 1]) * new ** np.arange(n + 1)
+    mean = (ways * np.arange(n + 1)).sum() / ways.sum()
+    keys, customers, weight = np.arange(dishes, dtype=np.uint64), np.full(dishes, n), np.full(dishes, new)
+    seating = pitman_yor.Seating.fresh(customers)
+    for k in range(25):
+        seating = seating.sweep(weight, discount, keys, k)
+        assert (seating.customers() == customers).all() and (seating.sizes > 0).all()
+        assert k or seating.tables.mean() > 12
+    assert abs(seating.tables.mean() / mean - 1) < 0.03
+    customers, weight, keys = np.array([60, 1, 2, 5000, 100_000, 61]), np.array([30.0, 1.0, 1.0, 400.0, 500.0, 30.0]), keys[:6]
+    made = pitman_yor.Seating.fresh(customers).sweep(weight, discount, keys, 0)
+    assert (made.customers() == customers).all() and (made.tables[3:5] > 100).all()
+    for i in range(6):  # a dish is seated alike, whatever lies beside it
+        alone = pitman_yor.Seating.fresh(customers[[i]]).sweep(weight[[i]], discount, keys[[i]], 0)
+        assert (alone.sizes == made.sizes[made.bounds[i] : made.bounds[i + 1]]).all()
+
+
 def test_packing():
     for own in ([], [0], [1, 300], [2**40], [2**63 + 5, 1], [0.5, -1.0]):
         assert pairs.unpack(pairs.pack(np.array(own, np.uint64 if own[:1] > [2**60] else None)))[0].tolist() == own
