@@ -50,7 +50,18 @@ def uniform(keys: np.ndarray, *salts: int) -> np.ndarray:
     salt = 0
     for s in salts:
         salt = (salt * 0x9E3779B97F4A7C15 + s + 1) & 0xFFFFFFFFFFFFFFFF
-    return (kernel.mix(kernel.mix(keys.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) ^ np.uint64(salt)) >> np.uint64(11)) * 2.0**-53
+    return (kernel.mix(stirred(keys) ^ np.uint64(salt)) >> np.uint64(11)) * 2.0**-53
+
+
+def stirred(keys: np.ndarray) -> np.ndarray:
+    return kernel.mix(keys.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+
+
+def uniforms(keys: np.ndarray, salt: int, turns: range, kinds: int) -> np.ndarray:
+    """uniform of the keys, stirred before, with salts (salt, turn, kind): by turn, kind and key."""
+    factor = np.array([0x9E3779B97F4A7C15], np.uint64)
+    salts = (np.array([salt + 1], np.uint64) * factor + np.arange(turns.start + 1, turns.stop + 1, dtype=np.uint64))[:, None] * factor + np.arange(1, kinds + 1, dtype=np.uint64)
+    return (kernel.mix(keys ^ salts[..., None]) >> np.uint64(11)) * 2.0**-53
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:

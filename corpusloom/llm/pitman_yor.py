@@ -22,6 +22,9 @@ the spelling.  Each of the ROUNDS seats the words, then the pairs, whose tables
 
 from __future__ import annotations
 
+import itertools
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,7 @@ SWEEPS, BURN_IN = 3, 1
 ROUNDS = 2  # of seating words, then pairs
 DRAWS = 3  # of a pair's tables, averaged, in the last round
 CELLS = 1 << 16  # sizes of tables that move side by side, about
+FEW = 16  # dishes that move one after another rather than side by side, at most
 RENEWED = 32  # turns after which a dish's largest table is looked up anew
 STRENGTH = 1.0
 
@@ -100,7 +104,7 @@ class Seating:
         counts, owner, sizes = np.diff(np.append(first, len(owner))), owner[first], sizes[first]
         kinds = np.bincount(np.searchsorted(live, owner), minlength=len(live))  # distinct sizes beside the main table's
         starts = np.cumsum(kinds) - kinds
-        scale = np.frexp(customers[live])[1]
+        scale = np.frexp(customers[live])[1] // 3  # a factor of eight
         order = np.lexsort((kinds, scale))
         scale = scale[order]
         made, every, a = [], tables.copy(), 0
@@ -157,7 +161,7 @@ def _reseated(main: np.ndarray, size: np.ndarray, count: np.ndarray, n: np.ndarr
     """
     done_main, done_size, done_count = main.copy(), np.zeros_like(size), np.zeros_like(count)
     at, left, others, turn = np.arange(len(n)), n.copy(), count.sum(axis=1), 0
-    n = n.astype(float)
+    n, key = n.astype(float), P.stirred(key)
     while True:
         done = left <= 0
         if done.sum() * 4 >= len(done):
@@ -166,7 +170,12 @@ def _reseated(main: np.ndarray, size: np.ndarray, count: np.ndarray, n: np.ndarr
             done_main[at[done]] = main[done]
             done_size[at[done], : size.shape[1]], done_count[at[done], : size.shape[1]] = size[done], count[done]
             main, size, count, n, new, key, at, left, others = (x[~done] for x in (main, size, count, n, new, key, at, left, others))
-            if not len(at):
+            if len(at) <= FEW:
+                for k in range(len(at)):
+                    made = _finished(int(main[k]), size[k].tolist(), count[k].tolist(), float(n[k]), float(new[k]), key[k : k + 1], discount, salt, int(left[k]), int(others[k]), turn)
+                    if len(made[1]) > done_size.shape[1]:
+                        done_size, done_count = (np.pad(x, ((0, 0), (0, len(made[1]) - x.shape[1]))) for x in (done_size, done_count))
+                    done_main[at[k]], done_size[at[k], : len(made[1])], done_count[at[k], : len(made[1])] = made
                 return done_main, done_size, done_count
         if turn % RENEWED == RENEWED - 1:  # the largest table becomes the main one
             largest = np.where(count > 0, size, 0)
@@ -181,12 +190,13 @@ def _reseated(main: np.ndarray, size: np.ndarray, count: np.ndarray, n: np.ndarr
         away = rest - discount * others + new
         main_leaves = main / n * (away / (away + back))
         change = np.minimum(main_leaves + rest / n, 1.0)
+        first, second, third = P.uniforms(key, salt, range(turn, turn + 1), 3)[0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            idle = np.log1p(-P.uniform(key, salt, turn, 0)) / np.log1p(-change)
+            idle = np.log1p(-first) / np.log1p(-change)
         idle = np.where(change > 0, np.minimum(np.floor(idle), left), left)
         left = left - idle.astype(np.int64) - 1
         go = left >= 0  # else the moves end before the next change
-        v = P.uniform(key, salt, turn, 1) * change
+        v = second * change
         from_main = (v < main_leaves) | (rest == 0)
         main = main - (go & from_main)
         rows = np.flatnonzero(go & ~from_main)
@@ -199,7 +209,7 @@ def _reseated(main: np.ndarray, size: np.ndarray, count: np.ndarray, n: np.ndarr
             size, count = _add(size, count, rows[fewer > 0], fewer[fewer > 0])
         mass = np.cumsum((size - discount) * count, axis=1)
         held = mass[:, -1] + np.where(from_main | (main == 0), 0.0, main - discount)
-        v = P.uniform(key, salt, turn, 2) * (held + new)
+        v = third * (held + new)
         small = v < mass[:, -1]
         opens = ~small & (v >= held)
         main = main + (go & ~small & ~opens)
@@ -213,6 +223,76 @@ def _reseated(main: np.ndarray, size: np.ndarray, count: np.ndarray, n: np.ndarr
         turn += 1
 
 
+def _finished(main: int, size: list[int], count: list[int], n: float, new: float, key: np.ndarray, discount: float, salt: int, left: int, others: int, turn: int) -> tuple:
+    """What _reseated does from a turn on, for a single row, with the same result: quicker where few rows are left."""
+    slot = {s: k for k, (s, c) in enumerate(zip(size, count, strict=True)) if c}
+    drawn, begun = [], turn
+
+    def add(own: int) -> None:
+        if own in slot:
+            count[slot[own]] += 1
+            return
+        if 0 not in count:
+            size.append(0)
+            count.append(0)
+        k = count.index(0)
+        size[k], count[k], slot[own] = own, 1, k
+
+    def take(k: int) -> None:
+        count[k] -= 1
+        if not count[k]:
+            del slot[size[k]]
+
+    while left > 0:
+        if turn - begun == len(drawn):
+            begun, drawn = turn, P.uniforms(key, salt, range(turn, turn + 256), 3)[..., 0].tolist()
+        if turn % RENEWED == RENEWED - 1 and slot and max(slot) > main:
+            old, main = main, max(slot)
+            take(slot[main])
+            if old:
+                add(old)
+            else:
+                others -= 1
+        rest = n - main
+        back = main - 1 - discount if main > 1 else 0.0
+        away = rest - discount * others + new
+        main_leaves = main / n * (away / (away + back))
+        change = min(main_leaves + rest / n, 1.0)
+        first, second, third = drawn[turn - begun]
+        idle = left if change <= 0 else 0 if change == 1 else min(math.floor(math.log1p(-first) / math.log1p(-change)), left)
+        left -= idle + 1
+        if left < 0:
+            break
+        v = second * change
+        from_main = v < main_leaves or rest == 0
+        if from_main:
+            main -= 1
+        else:
+            pick = min(math.floor((v - main_leaves) * n), rest - 1)
+            k = bisect_right(list(itertools.accumulate(s * c for s, c in zip(size, count, strict=True))), pick)
+            fewer = size[k] - 1
+            take(k)
+            if fewer:
+                add(fewer)
+            else:
+                others -= 1
+        mass = list(itertools.accumulate((s - discount) * c for s, c in zip(size, count, strict=True)))
+        held = mass[-1] + (0.0 if from_main or not main else main - discount)
+        v = third * (held + new)
+        if v < mass[-1]:
+            k = bisect_right(mass, v)
+            more = size[k] + 1
+            take(k)
+            add(more)
+        elif v < held:
+            main += 1
+        else:
+            others += 1
+            add(1)
+        turn += 1
+    return main, size, count
+
+
 def gammas(shape: np.ndarray, keys: np.ndarray, salt: int) -> np.ndarray:
     """Gamma draws of shapes above 0, by Marsaglia and Tsang; random numbers follow from the keys."""
     out = np.zeros(len(shape))
