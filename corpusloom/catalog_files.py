@@ -129,7 +129,7 @@ def conll_files(s: SparkSession, d: str) -> DataFrame:
     """Sentences and tokens of all files."""
     path = fresh(s, "conll")
     writers.conll_files(sentences(s, d).where(F.size("sentences") > 0), "sentences", path)
-    made = readers.conll_documents(s, path).select(F.explode("content").alias("sentence")).where(F.size("sentence") > 0)
+    made = readers.conll_sentences_of(s, path)
     return made.agg(F.count("*").alias("n_sentences"), F.coalesce(F.sum(F.size("sentence")), F.lit(0)).cast("long").alias("n_tokens"))
 
 

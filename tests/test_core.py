@@ -450,3 +450,19 @@ def test_broadcasts_are_bounded(spark):
     assert df.select(basic.row_bytes(df)).first()[0] == 200 + 8 + 40
     hinted = lambda **how: "ResolvedHint" in basic.broadcast_if_small(df, **how)._jdf.queryExecution().analyzed().toString()
     assert hinted() and not hinted(rows=4) and not hinted(size=1000)
+
+
+@pytest.mark.parametrize("part", [7, 16, 23, 64, 1 << 20])
+def test_large_conll_files_are_read_in_parts(spark, tmp_path, part):
+    words = [[[f"{i}", "é" * (i % 5)] for i in range(n % 4 + 1)] for n in range(30)]
+    (tmp_path / "c.conll").write_text("".join("".join("\t".join(t) + "\n" for t in s) + "\n" for s in words))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        made = readers.conll_sentences_of(spark, str(tmp_path))
+        assert sorted(r["sentence"] for r in made.collect()) == sorted(words)
+        assert part > 64 or made.rdd.getNumPartitions() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
