@@ -466,3 +466,14 @@ def test_large_conll_files_are_read_in_parts(spark, tmp_path, part):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_annotations_are_held_a_piece_at_a_time(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["aaaa", None, "b" * 30, "", "cc", "dd"], "n": list(range(6))})
+    cut = list(annotate.pieces(batch, ["t"], 5))
+    assert [r for p in cut for r in p.column("n").to_pylist()] == list(range(6)) and [p.num_rows for p in cut] == [3, 2, 1]
+    df = spark.createDataFrame([(i, "A b. " * 20000 if i % 7 else None) for i in range(30)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["n"] for r in annotate.annotate(df, ["t"]).select("i", F.size("t_corenlp").alias("n")).collect()}
+    assert got == {i: 20000 if i % 7 else -1 for i in range(30)} or got == {i: 20000 if i % 7 else None for i in range(30)}
