@@ -477,3 +477,14 @@ def test_annotations_are_held_a_piece_at_a_time(spark):
     df = spark.createDataFrame([(i, "A b. " * 20000 if i % 7 else None) for i in range(30)], "i int, t string").coalesce(1)
     got = {r["i"]: r["n"] for r in annotate.annotate(df, ["t"]).select("i", F.size("t_corenlp").alias("n")).collect()}
     assert got == {i: 20000 if i % 7 else -1 for i in range(30)} or got == {i: 20000 if i % 7 else None for i in range(30)}
+
+
+def test_pairs_of_definitions_are_not_shuffled(spark):
+    own = spark.createDataFrame([(f"h{i}", f"w{i % 3} all s{i % 7}") for i in range(60)], "headword string, definition string")
+    words = own.where("headword in ('h0', 'h21', 'h5')").select("headword")
+    made = lexicon.similar(lexicon.bags(own, lexicon.vocabulary(own)), words, True, whole=True)
+    bag = {f"h{i}": {f"w{i % 3}", "all", f"s{i % 7}"} for i in range(60)}
+    assert {(r["word"], r["headword"]): r["common"] for r in made.collect()} == {(a, b): sorted(bag[a] & bag[b]) for a in ("h0", "h21", "h5") for b in bag}
+    assert all(math.isclose(r["similarity"], len(r["common"]) / 3) for r in made.collect())
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastNestedLoopJoin" in plan and "Exchange" not in plan[: plan.index("BroadcastNestedLoopJoin")]
