@@ -158,7 +158,7 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> None:
         table = vectors.normalized(readers.text_vectors(spark, a.vectors))
         seeds = table.join(readers.word_set(spark, a.seeds).withColumnRenamed("item", "word"), "word", "left_semi")
         how = {"dcg_length": a.dcg_length, "min_dcg": a.min_dcg} if a.method == "dcg" else {}
-        members, nodes, graph = vectors.emscan(vectors.similarity_edges(table, a.min_similarity), seeds, a.iterations, a.max_cluster, a.method, **how)
+        members, nodes, graph = vectors.emscan(vectors.nearest_edges(table, a.min_similarity) if a.method == "first" else vectors.similarity_edges(table, a.min_similarity), seeds, a.iterations, a.max_cluster, a.method, **how)
         _tsv(table.join(members, "idx").select("word").orderBy("word"), a.output)
         if a.graph:
             with open(a.graph, "w", encoding="utf-8") as file:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,6 +106,120 @@ def similarity_edges(vectors: DataFrame, least: float, block: int = BLOCK) -> Da
     return _blocks(vectors, vectors, least, 0, block).where("src <> dst")
 
 
+# Summaries of a vector's edges, found without the edges, whose number grows with the square of the vectors.
+
+CELLS = 8  # parts that vectors are dealt into, each to meet each other one in a task: they move 2 * CELLS times
+CELL_LEAST = 1024  # vectors in a part at least
+CELL_NUMBERS = 4 << 20  # in a part at most; more vectors make more parts
+ROWS_AT_ONCE = 4 << 20  # products held at once
+
+
+def _cells(vectors: DataFrame, other: DataFrame, kernel, schema: str) -> DataFrame:
+    """kernel over each part of the vectors, as queries, with each part of the other table; both have idx and vec."""
+    width = other.select(F.size("vec").alias("n")).first()
+    n = other.count()
+    parts = max(min(CELLS, math.ceil(n / CELL_LEAST)), math.ceil(n * (width["n"] if width else 1) / CELL_NUMBERS), 1)
+    part, every = F.pmod(F.xxhash64("idx"), F.lit(parts)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    q = vectors.select(*(F.col(c).alias(c) for c in vectors.columns), part.alias("qb")).withColumn("vb", every)
+    v = other.select(*(F.col(c).alias(c) for c in other.columns), part.alias("vb")).withColumn("qb", every)
+    return q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(kernel, schema)
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and vectors by rising number."""
+    ids = table["idx"].to_numpy()
+    x = np.concatenate([c.flatten().to_numpy() for c in table["vec"].chunks]).astype(np.float64).reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], x[order]
+
+
+def _similarities(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, least: float):
+    """Some queries after the other: their first number, and the products with all vectors, -inf below least and with
+    themselves.  Equal vectors have equal products, whichever way the product was summed up."""
+    _, first, same = np.unique(np.ascontiguousarray(v).view(np.void(8 * v.shape[1])).ravel(), return_index=True, return_inverse=True)
+    source = first[same.ravel()]
+    copies = np.flatnonzero(source != np.arange(len(v)))
+    step = max(1, ROWS_AT_ONCE // len(v))
+    at = np.searchsorted(v_ids, q_ids)
+    own = (at < len(v_ids)) & (v_ids[np.minimum(at, len(v_ids) - 1)] == q_ids)
+    for a in range(0, len(q), step):
+        s = q[a : a + step] @ v.T
+        if len(copies):
+            s[:, copies] = s[:, source[copies]]
+        s[~(s >= least)] = -np.inf
+        mine = np.flatnonzero(own[a : a + step])
+        s[mine, at[a + mine]] = -np.inf
+        yield a, s
+
+
+def _best_of_cell(least: float, k: int):
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(queries) and len(vectors):
+            (q_ids, q), (v_ids, v) = _matrix(queries), _matrix(vectors)
+            for a, s in _similarities(q_ids, q, v_ids, v, least):
+                rows = np.arange(len(s))
+                for _ in range(min(k, len(v))):
+                    c = s.argmax(axis=1)
+                    r = np.flatnonzero(s[rows, c] > -np.inf)
+                    c = c[r]
+                    found.append((q_ids[a + r], v_ids[c], (q[a + r] * v[c]).sum(axis=1)))
+                    s[r, c] = -np.inf
+        src, dst, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"src": src.astype(np.int64), "dst": dst.astype(np.int64), "sim": sim})
+
+    return run
+
+
+def nearest_edges(vectors: DataFrame, least: float, k: int = 1) -> DataFrame:
+    """[J10 J11 W5] src, dst, sim of the k nearest others of each vector among those with sim >= least, ties to the smaller idx.
+
+    What the methods "first" (k = 1) and "dcg" (k = dcg_length) of emscan_step look at of similarity_edges().
+    """
+    if least <= 0:
+        raise ValueError("the least similarity must be positive")
+    own = vectors.select("idx", "vec")
+    found = _cells(own, own, _best_of_cell(least, k), "src long, dst long, sim double")
+    order = W.partitionBy("src").orderBy(F.desc("sim"), "dst")
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+
+
+def _count_of_cell(least: float):
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        n, inside, ids = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64), np.zeros(0, np.int64)
+        if len(queries) and len(vectors):
+            (ids, q), (v_ids, v) = _matrix(queries), _matrix(vectors)
+            member = vectors["inside"].to_numpy()[np.argsort(vectors["idx"].to_numpy(), kind="stable")].astype(np.float32)
+            for a, s in _similarities(ids, q, v_ids, v, least):
+                linked = s > -np.inf
+                n[a : a + len(s)] = np.count_nonzero(linked, axis=1)
+                inside[a : a + len(s)] = np.count_nonzero(linked[:, member > 0], axis=1)
+        some = n[: len(ids)] > 0
+        return pa.table({"src": ids[some].astype(np.int64), "n": n[: len(ids)][some], "inside": inside[: len(ids)][some]})
+
+    return run
+
+
+def neighbour_counts(vectors: DataFrame, cluster: DataFrame, least: float) -> DataFrame:
+    """src, n, inside: with how many others a vector has sim >= least, and with how many members of the cluster."""
+    if least <= 0:
+        raise ValueError("the least similarity must be positive")
+    members = cluster.select("idx", F.lit(1).alias("inside")).distinct()
+    flagged = vectors.select("idx", "vec").join(members, "idx", "left").fillna(0, ["inside"])
+    found = _cells(vectors.select("idx", "vec"), flagged, _count_of_cell(least), "src long, n long, inside long")
+    return found.groupBy("src").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+
+
+def emscan_step_of(vectors: DataFrame, cluster: DataFrame, least: float, method: str = "first", dcg_length: int = 5, min_dcg: float = 1.0, cluster_ratio: float = 0.5) -> DataFrame:
+    """emscan_step() on the edges of similarity_edges(vectors, least), which are not made."""
+    if method == "ratio":
+        share = neighbour_counts(vectors, cluster, least).where("inside > 0").where(F.col("inside") / F.col("n") >= cluster_ratio)
+        return share.select(F.col("src").alias("idx")).join(cluster.select("idx").distinct(), "idx", "left_anti")
+    if method == "dcg" and min_dcg <= 1e-12:  # then a member farther off is enough
+        return emscan_step(similarity_edges(vectors, least), cluster, method, dcg_length, min_dcg)
+    return emscan_step(nearest_edges(vectors, least, dcg_length if method == "dcg" else 1), cluster, method, dcg_length, min_dcg)
+
+
 def nearest_other(edges: DataFrame) -> DataFrame:
     """[W5] src, dst, sim: the nearest neighbour among the edges, ties to the smaller idx."""
     order = W.partitionBy("src").orderBy(F.desc("sim"), "dst")
@@ -156,6 +271,7 @@ def emscan(edges: DataFrame, seeds: DataFrame, iterations: int = 100, max_cluste
     """[G4 G5 Q16] members(idx, it), graph nodes (the same) and edges(src, dst, weight, it) after the rounds.
 
     It ends after so many rounds, when nothing is added, or before adopting a round that would reach max_cluster members.
+    For "first", nearest_edges() are enough.
     """
     edges = _saved(edges)
     cluster = _saved(seeds.select("idx", F.lit(0).alias("it")).distinct())

@@ -488,3 +488,23 @@ def test_pairs_of_definitions_are_not_shuffled(spark):
     assert all(math.isclose(r["similarity"], len(r["common"]) / 3) for r in made.collect())
     plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "BroadcastNestedLoopJoin" in plan and "Exchange" not in plan[: plan.index("BroadcastNestedLoopJoin")]
+
+
+def test_steps_without_edges(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4))
+    x[[20, 40, 60, 80]] = x[3]  # equal vectors: ties go to the smaller number
+    x[7] = 0
+    own = vectors.normalized(spark.createDataFrame([(i * 3 % 101, r.tolist()) for i, r in enumerate(x)], "idx long, vec array<double>"))
+    cluster = own.where("idx % 4 = 0").select("idx")
+    edges = vectors.similarity_edges(own, 0.5).cache()
+    for cells in (1, 3):
+        monkeypatch.setattr(vectors, "CELL_NUMBERS", 90 * 4 // cells)
+        monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 900)
+        for how in ({"method": "first"}, {"method": "dcg"}, {"method": "dcg", "min_dcg": 0.0}, {"method": "ratio"}, {"method": "ratio", "cluster_ratio": 0.2}):
+            assert rows(vectors.emscan_step_of(own, cluster, 0.5, **how)) == rows(vectors.emscan_step(edges, cluster, **how)), (cells, how)
+        near = vectors.nearest_edges(own, 0.5)
+        assert rows(near.select("src", "dst")) == rows(vectors.nearest_other(edges).select("src", "dst"))
+    for a, b in list(zip(vectors.emscan(near, cluster), vectors.emscan(edges, cluster), strict=True))[1:]:
+        assert [tuple(round(v, 9) for v in r) for r in rows(a)] == [tuple(round(v, 9) for v in r) for r in rows(b)]
+    assert near.count() < edges.count()
