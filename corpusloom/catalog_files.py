@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .catalog import ASK, BI, POST, STAT2, asked, both_stats, docs, embedded, query, sentences, table, weighted
 from .operators import stats
-from .session import shared_folder
+from .session import saved, shared_folder
 from .sources import readers, webarchive, writers
 
 
@@ -137,7 +137,8 @@ def conll_files(s: SparkSession, d: str) -> DataFrame:
 def term_stats_files(s: SparkSession, d: str) -> DataFrame:
     """Nested JSON, in parts."""
     path = fresh(s, "stats")
-    writers.term_stats_json(stats.filter_df(both_stats(s, d), {"lemmas": 5, "lemmas_bigrams": 5}), parts=16).write.text(path)
+    own = saved(stats.filter_df(both_stats(s, d), {"lemmas": 5, "lemmas_bigrams": 5}), "stats")
+    writers.term_stats_json(own, parts=16).write.text(path)
     return readers.term_stats_json(s, path)
 
 

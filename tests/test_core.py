@@ -508,3 +508,35 @@ def test_steps_without_edges(spark, monkeypatch):
     for a, b in list(zip(vectors.emscan(near, cluster), vectors.emscan(edges, cluster), strict=True))[1:]:
         assert [tuple(round(v, 9) for v in r) for r in rows(a)] == [tuple(round(v, 9) for v in r) for r in rows(b)]
     assert near.count() < edges.count()
+
+
+def test_term_sums_of_parts(spark, monkeypatch):
+    from collections import Counter
+
+    texts = ["a b a b", "b", "", None, "a b", "c a b a"]
+    df = spark.createDataFrame([(t.split() if t is not None else None,) for t in texts], "t array<string>").coalesce(1)
+    lists = [t.split() for t in texts if t]
+    for field, own in (("u", lists), ("b", [[f"{x} {y}" for x, y in zip(t[:-1], t[1:], strict=True)] for t in lists])):
+        tf, dfs = Counter(x for t in own for x in t), Counter(x for t in own for x in set(t))
+        for at_once in (1, 3, 1 << 20):
+            monkeypatch.setattr(stats, "TOKENS_AT_ONCE", at_once)
+            made = stats.tf_df_of_tokens(df, F.col("t"), "u", 2.0, "b").where(F.col("field") == field)
+            assert rows(made.select("term", "tf", "df")) == sorted((x, 2.0 * n, dfs[x]) for x, n in tf.items())
+    assert stats.term_parts(df, F.col("t"), "u", "b").groupBy("field", "term").count().where("count > 1").isEmpty()  # summed before a shuffle
+
+
+@pytest.mark.parametrize("part", [61, 1 << 20])
+def test_large_statistics_are_many_objects(spark, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(writers, "PART_TERMS", 10)
+    own = spark.createDataFrame([(f, f"t{{{i}", i / 2, i) for i in range(150) for f in "fg"], "field string, term string, tf double, df bigint")
+    made = writers.term_stats_json(own, 7)
+    assert 28 < made.count() <= 35
+    made.coalesce(1).write.text(str(tmp_path / "stats"))
+    (tmp_path / "list.json").write_text('[\n{"h": {"TF": {"a": 2, "b": 1}, "DF": {"a": 1, "c": 9}}},\n{"TF": {"x": 1.5}}\n]\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    try:
+        assert rows(readers.term_stats_json(spark, str(tmp_path / "stats"))) == rows(own)
+        assert rows(readers.term_stats_json(spark, str(tmp_path / "list.json"))) == [("all", "x", 1.5, 0), ("h", "a", 2.0, 1), ("h", "b", 1.0, 0)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
