@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search, stats
-from ..session import shared_folder
+from ..session import saved, shared_folder
 
 
 def feedback(postings: DataFrame, query: DataFrame, key: str, hits: int = 100, terms: int = 20, rounds: int = 1, least_ratio: float = 0.0) -> DataFrame:
@@ -27,3 +27,17 @@ def feedback(postings: DataFrame, query: DataFrame, key: str, hits: int = 100, t
         new = chosen.where("label = 'new'").orderBy(F.desc("weight"), "term").limit(terms)
         asked = chosen.where("label = 'query'").unionByName(new).select("term", "weight")
     return search.search_postings(postings, asked, key)
+
+
+def feedback_tokens(df: DataFrame, query: DataFrame, key: str, tokens: Column, hits: int = 100, terms: int = 20, rounds: int = 1, least_ratio: float = 0.0) -> DataFrame:
+    """The same on token lists, without the postings of the whole corpus: of these only the terms' sums are kept."""
+    base = saved(stats.tf_df_of_tokens(df, tokens, "terms").select("term", "tf", "df"), "base")
+    asked = search.query_table(query)
+    for _ in range(rounds):
+        best = search.top(search.search_tokens(df, asked, key, {"terms": tokens}), key, hits).select(key)
+        best = saved(best, "best")
+        subset = stats.term_counts(df.join(F.broadcast(best), key, "left_semi"), key, tokens).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+        chosen = stats.select_terms(stats.log_tf_ratio(subset, base, threshold=least_ratio, print_dfs=True), asked.select("term"))
+        new = chosen.where("label = 'new'").orderBy(F.desc("weight"), "term").limit(terms)
+        asked = saved(chosen.where("label = 'query'").unionByName(new).select("term", "weight"), "asked")
+    return search.search_tokens(df, asked, key, {"terms": tokens})

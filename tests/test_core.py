@@ -540,3 +540,21 @@ def test_large_statistics_are_many_objects(spark, tmp_path, monkeypatch, part):
         assert rows(readers.term_stats_json(spark, str(tmp_path / "list.json"))) == [("all", "x", 1.5, 0), ("h", "a", 2.0, 1), ("h", "b", 1.0, 0)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_search_of_tokens_equals_search_of_postings(spark):
+    texts = {1: "fire flood fire", 2: "", 3: None, 4: "calm sea", 5: "flood sea sea calm fire", 6: "fire"}
+    df = spark.createDataFrame([(k, t.split() if t is not None else None) for k, t in [*texts.items(), (6, "sea fire fire")]], "id int, t array<string>")
+    query = spark.createDataFrame([("fire", 1.0), ("sea", 0.5), ("fire flood", 2.0)], "term string, weight double")
+    parts = {"a": F.col("t"), "b": X.bigrams(F.col("t"))}
+    posts = {f: stats.term_counts(df, "id", c).select("id", F.lit(f).alias("field"), "term", "tf") for f, c in parts.items()}
+    near = lambda found: [(k, round(x, 9)) for k, x in rows(found)]
+    for how in ({}, {"scorer": "tf"}, {"avgdl": 3.0, "field_weights": {"a": 1.0, "b": 2.0}}, {"min_score": 1.0}):
+        both = search.search_tokens(df, query, "id", parts, {"b": F.size("t") - 1}, **how)
+        assert near(both) == near(search.search_postings(posts["a"].union(posts["b"]), query, "id", **how)) and both.count() > 1
+        assert near(search.search_tokens(df, query, "id", {"a": F.col("t")}, **how)) == near(search.search_postings(posts["a"], query, "id", **how))
+    plan = search.search_tokens(df, query, "id", {"a": F.col("t")})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [id#") < plan.index("LeftSemi")  # the query's terms are chosen before they are grouped
+    asked = query.select("term").where("term = 'sea'")
+    for rounds in (1, 2):
+        assert near(feedback.feedback_tokens(df, asked, "id", F.col("t"), hits=1, rounds=rounds)) == near(feedback.feedback(stats.term_counts(df, "id", F.col("t")), asked, "id", hits=1, rounds=rounds))
