@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,33 +46,65 @@ def bands_for(threshold: float, n: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signatures(df: DataFrame, key: str, shingles: Column, num_perm: int = 128, keep_short: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+def _words_of(lists: pa.Array) -> Iterator[list[bytes]]:
+    """The lists of strings, one after the other, as UTF-8."""
+    values, lengths = lists.flatten().cast(pa.binary()), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    for n in lengths.tolist():
+        yield values.slice(at, n).to_pylist()
+        at += n
+
+
+def _runs(words: list[bytes], n: int) -> set[bytes]:
+    """Distinct runs of n words, joined by blanks."""
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n > 1 else set(words)
+
+
+def least_of_permutations(hashes: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Minima of (scale h + shift) mod 2^31 - 1 over hashes below that, a permutation each.
+
+    As 2^31 is 1 by that modulus, high and low bits are added up instead of dividing; their sum is below twice the modulus.
+    """
+    best = np.full(len(scale), PRIME, np.uint32)
+    for at in range(0, len(hashes), 256):
+        x = hashes[at : at + 256, None] * scale + shift
+        y = ((x & PRIME) + (x >> 31)).astype(np.uint32)
+        best = np.minimum(best, np.minimum(y, y - np.uint32(PRIME)).min(axis=0))
+    return best.astype(np.int64)
+
+
+def signatures(df: DataFrame, key: str, shingles: Column, num_perm: int = 128, keep_short: bool = False, keep: Sequence[str] = (), words: int = 1) -> DataFrame:
     """[X12 Q6] key, the fields to keep and minhash: a minimum a permutation over the document's shingles.
 
-    Documents without any are dropped, or with keep_short have a null.  Each shingle is hashed once, in the JVM, and nothing is
-    shuffled; the permutations run over whole arrays of hashes in numpy, which takes a small part of the time that lambdas or
-    as many aggregates need.
+    Documents without any are dropped, or with keep_short have a null.  With words > 1 the lists hold words, and shingles are runs
+    of so many.  Nothing is shuffled; a document at a time its runs are made and hashed, as hash32() does, and the permutations
+    run over arrays of hashes in numpy, which takes a small part of the time that lambdas or as many aggregates need.
     """
     scale, shift = (np.array(x, np.int64) for x in zip(*permutations(num_perm), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
             out: list[np.ndarray | None] = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                best = np.full(num_perm, PRIME, np.int64)
-                for at in range(a, b, 4096):
-                    best = np.minimum(best, ((values[at : min(at + 4096, b), None] * scale + shift) % PRIME).min(axis=0))
-                out.append(best if b > a else None)
-            made = pa.array(out, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "minhash"])
-
-    made = df.select(key, *keep, F.coalesce(F.transform(shingles, lambda x: hash32(x) % PRIME), F.array().cast("array<bigint>")).alias("_h"))
-    made = made if keep_short else made.where(F.size("_h") > 0)
+            for own in _words_of(batch.column(batch.num_columns - 1)):
+                runs = _runs(own, words)
+                first = b"".join([md5(x, usedforsecurity=False).digest()[:4] for x in runs])
+                out.append(least_of_permutations(np.frombuffer(first, ">u4").astype(np.int64) % PRIME, scale, shift) if runs else None)
+            made = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.int64()))], names=[*batch.schema.names[:-1], "minhash"])
+            yield made if keep_short else made.filter(pc.is_valid(made.column("minhash")))
+
+    made = df.select(key, *keep, shingles.alias("_h"))
     return made.mapInArrow(run, T.StructType([*made.schema.fields[:-1], T.StructField("minhash", T.ArrayType(T.LongType()))]))
 
 
+def shingle_summary(df: DataFrame, key: str, shingles: Column) -> DataFrame:
+    """key, n, least: how many distinct shingles a document has, and the smallest MD5 of one; none, no row.
+
+    A row is summed up where it lies: the shingles as rows would be sorted for the minimum of a text.
+    """
+    lists = df.select(key, shingles.alias("_s")).select(key, F.size("_s").cast("long").alias("n"), F.array_min(F.transform("_s", lambda x: F.md5(x.cast("binary")))).alias("least"))
+    return lists.groupBy(key).agg(F.sum("n").alias("n"), F.min("least").alias("least")).where("n > 0")
+
+
 def buckets(signed: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
     """[J17] key, band, bucket."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.array_join(F.slice("minhash", i * rows + 1, rows), "-").alias("bucket")))

@@ -558,3 +558,23 @@ def test_search_of_tokens_equals_search_of_postings(spark):
     asked = query.select("term").where("term = 'sea'")
     for rounds in (1, 2):
         assert near(feedback.feedback_tokens(df, asked, "id", F.col("t"), hits=1, rounds=rounds)) == near(feedback.feedback(stats.term_counts(df, "id", F.col("t")), asked, "id", hits=1, rounds=rounds))
+
+
+def test_shingles_of_words(spark):
+    from hashlib import md5
+
+    rng = np.random.default_rng(8)
+    h = np.concatenate([rng.integers(0, dedup.PRIME, 700), [0, 1, dedup.PRIME - 1]])
+    scale, shift = (np.array(x, np.int64) for x in zip(*dedup.permutations(128), strict=True))
+    want = [min((int(a) * int(x) + int(b)) % dedup.PRIME for x in h) for a, b in zip(scale, shift, strict=True)]
+    assert dedup.least_of_permutations(h, scale, shift).tolist() == want
+    texts = ["a b c d é f", "x", None, "a b c d é a b c d é a b", ""]
+    df = spark.createDataFrame([(i, t.split() if t is not None else None) for i, t in enumerate(texts)], "id int, t array<string>")
+    made = dedup.signatures(df, "id", F.col("t"), 16, words=5)
+    assert rows(made) == rows(dedup.signatures(df, "id", X.shingles(F.col("t"), 5), 16)) and made.count() == 2
+    assert [r["minhash"] is None for r in dedup.signatures(df, "id", F.col("t"), 16, True, words=5).orderBy("id").collect()] == [False, True, True, False, True]
+    own = {0: ["a b c d é", "b c d é f"], 3: ["a b c d é", "b c d é a", "c d é a b", "d é a b c", "é a b c d"]}
+    summary = dedup.shingle_summary(df, "id", X.shingles(F.col("t"), 5))
+    assert "Generate" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(summary) == [(k, len(v), min(md5(x.encode()).hexdigest() for x in v)) for k, v in own.items()]
+    assert one(spark, dedup.hash32(F.col("s")), s=("a b c d é", "string")) == int(md5("a b c d é".encode()).hexdigest()[:8], 16)
